@@ -117,17 +117,16 @@ def overridden_stream(events: DataFrame) -> DataFrame:
     schema = "session_id long, host string, ts timestamp, id long"
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [pdf for pdf in batches] if not state.exists else None
         start = state.get[0] if state.exists else None
-        if held is not None:
-            marks = [pdf.loc[pdf["kind"] == "override", "ts"] for pdf in held]
-            marks = [m.min() for m in marks if len(m)]
-            start = int(min(marks).value // 1000) if marks else None
-        for pdf in (held if held is not None else batches):
-            nav = pdf[pdf["kind"] == "nav"]
+        for pdf in batches:
+            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
+            marks = micros[pdf["kind"] == "override"]
+            if len(marks):
+                start = int(marks.min()) if start is None else min(start, int(marks.min()))
+            keep = pdf["kind"] == "nav"
             if start is not None:
-                nav = nav[nav["ts"].astype("datetime64[us]").astype("int64") < start]
-            yield nav[["session_id", "host", "ts", "id"]]
+                keep &= micros < start
+            yield pdf.loc[keep, ["session_id", "host", "ts", "id"]]
         if start is not None:
             state.update((start,))
 
