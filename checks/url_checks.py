@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks import seeds
@@ -25,9 +27,9 @@ def fold_sql(x: str) -> str:
     return f"translate(lower({x}), '{_FOLD_FROM}', '{_FOLD_TO}')"
 
 
-def host_ctes(source: str = "urls", schemes: str = "https?") -> str:
+def host_ctes(source: str = "urls", schemes: str = "https?", name: str = "hosted") -> str:
     """hosted: source rows plus is_web, raw_host, canon, host, idna_failed, path."""
-    return rf"""h1 AS (
+    text = rf"""h1 AS (
     SELECT *, coalesce(regexp_matches(url, '(?i)^https?://'), FALSE) AS is_web,
         coalesce(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:@\[\]]+)', 1)),
             '^www[.]', ''), '') AS raw_host,
@@ -87,6 +89,9 @@ hosted AS (
         CASE WHEN canon IS NULL THEN '' WHEN tail = '' THEN '/'
              ELSE replace(tail, chr(92), '/') END AS path
     FROM h7)"""
+    if name != "hosted":
+        text = re.sub(r"\bh([1-7])\b", rf"{name}\1", text).replace("hosted AS", f"{name} AS")
+    return text
 
 
 ALLOW_SQL = "allow(domain, name, official_url, high_value, ord) AS (" + sql_values(seeds.ALLOW) + ")"

@@ -72,7 +72,7 @@ def has_gibberish_label(host: Column) -> Column:
     labels = host_labels(host)
     n = F.size(labels)
     judged = F.filter(labels, lambda x, i: ~((i == n - 1) & (F.length(x) <= 3)))
-    return F.exists(judged, looks_random)
+    return F.exists(judged, lambda x: looks_random(x))
 
 
 def is_random_local_part(local: Column) -> Column:
