@@ -1,5 +1,5 @@
 """All registered queries: name -> (Spark job, SQL twin or None)."""
 
-from checks import message_checks, url_checks
+from checks import message_checks, page_checks, url_checks
 
-CHECKS = {**url_checks.CHECKS, **message_checks.CHECKS}
+CHECKS = {**url_checks.CHECKS, **message_checks.CHECKS, **page_checks.CHECKS}

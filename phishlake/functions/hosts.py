@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phishlake import fixed_values as fv
+from phishlake.functions.settle import settled
 from phishlake.functions.text import ends_with_any
 
 _FULLWIDTH = "".join(chr(c) for c in range(fv.FULLWIDTH_FIRST, fv.FULLWIDTH_LAST + 1))
@@ -197,18 +198,13 @@ def with_hosts(df: DataFrame, url: str = "url") -> DataFrame:
                          r"(?i)^https?:[/\\]*[^/\\?#]*([^?#]*)", 1),
         F.lit("\\"), F.lit("/"),
     )
-    return (
-        df.withColumn("is_web", is_web_url(u))
-        .withColumn("raw_host", F.coalesce(raw_host_of(u), F.lit("")))
-        .withColumn("idna_failed", F.col("_canon").isNull())
-        .withColumn("host", F.coalesce(strip_www(F.col("_canon")), F.col("raw_host")))
-        .withColumn(
-            "path",
-            F.when(F.col("idna_failed"), F.lit(""))
-            .when(path == "", F.lit("/")).otherwise(path),
-        )
-        .drop("_canon")
-    )
+    failed = F.col("_canon").isNull()
+    df = df.withColumns({
+        "is_web": is_web_url(u), "raw_host": F.coalesce(raw_host_of(u), F.lit("")),
+        "idna_failed": failed,
+        "path": F.when(failed, F.lit("")).when(path == "", F.lit("/")).otherwise(path),
+    }).withColumn("host", F.coalesce(strip_www(F.col("_canon")), F.col("raw_host"))).drop("_canon")
+    return settled(df, ["is_web", "raw_host", "idna_failed", "host", "path"])
 
 
 def has_risky_tld(host: Column, tlds=fv.RISKY_TLDS) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phishlake.functions.hosts import ANY_HOST_SCHEMES, hosts_of_urls, strip_www
+from phishlake.functions.settle import settled
 from phishlake.functions.text import SPACE, text_or_empty, trim_space
 
 # --- fixed values: extraction patterns -------------------------------------
@@ -107,30 +108,31 @@ def with_message_parts(df: DataFrame) -> DataFrame:
     Needs ``body, from_hdr, reply_to, subject, auth_results``. Steps are stacked
     as projections so that shared parts are computed once.
     """
-    df = (
-        df.withColumn("body", text_or_empty(F.col("body")))
-        .withColumn("_from", sender_text(F.col("from_hdr"), F.col("body")))
-        .withColumn("sender", parse_sender(F.col("_from")))
-        .withColumn("reply_domain", F.when(
-            F.coalesce(F.col("reply_to"), F.lit("")) != "",
-            parse_sender(F.col("reply_to"))["domain"]))
-        .withColumn("body_lower", F.lower(F.col("body")))
-        .withColumn("subject_hay", F.lower(F.concat(
-            text_or_empty(F.col("subject")), F.lit("\n"), F.col("body"))))
-        .withColumn("display_hay", F.lower(F.concat(
-            F.col("sender.display_name"), F.lit("\n"), F.col("body"))))
-        .withColumn("links", extract_links(F.col("body")))
-        .withColumn("link_hosts", F.array_compact(hosts_of_urls("links")))
-        .withColumn("_anchors", extract_anchors(F.col("body")))
-        .withColumn("_hrefs", hosts_of_urls("_anchors.href", ANY_HOST_SCHEMES))
-        .withColumn("_texts", hosts_of_urls("_anchors.text", ANY_HOST_SCHEMES))
-        .withColumn("anchor_hosts", F.zip_with(
+    texts = F.col("_anchors.text")
+    df = df.withColumn("body", text_or_empty(F.col("body"))).withColumns({
+        "_from": sender_text(F.col("from_hdr"), F.col("body")),
+        "body_lower": F.lower("body"),
+        "links": extract_links(F.col("body")),
+        "_anchors": extract_anchors(F.col("body")),
+        "reply_domain": F.when(F.coalesce(F.col("reply_to"), F.lit("")) != "",
+                               parse_sender(F.col("reply_to"))["domain"]),
+        "subject_hay": F.lower(F.concat(
+            text_or_empty(F.col("subject")), F.lit("\n"), F.col("body"))),
+    }).withColumns({
+        "sender": parse_sender(F.col("_from")),
+        "link_hosts": F.array_compact(hosts_of_urls("links")),
+        "_hrefs": hosts_of_urls("_anchors.href", ANY_HOST_SCHEMES),
+        "_texts": hosts_of_urls("_anchors.text", ANY_HOST_SCHEMES),
+    }).withColumns({
+        "display_hay": F.lower(F.concat(
+            F.col("sender.display_name"), F.lit("\n"), F.col("body"))),
+        "anchor_hosts": F.zip_with(
             F.col("_hrefs"),
-            F.zip_with(F.col("_texts"), F.col("_anchors.text"), lambda h, t: F.coalesce(
+            F.zip_with(F.col("_texts"), texts, lambda h, t: F.coalesce(
                 h, F.when(t.rlike(HOST_LIKE_TEXT), F.lower(t)))),
             lambda h, t: F.struct(strip_www(h).alias("href"), strip_www(t).alias("text")),
-        ))
-        .withColumn("all_hosts", F.array_compact(F.concat(
-            F.array(F.col("sender.domain")), F.col("link_hosts"))))
-    )
-    return df.drop("_from", "_anchors", "_hrefs", "_texts")
+        ),
+        "all_hosts": F.array_compact(F.concat(F.array("sender.domain"), F.col("link_hosts"))),
+    })
+    return settled(df.drop("_from", "_anchors", "_hrefs", "_texts"), [
+        "sender", "reply_domain", "links", "link_hosts", "anchor_hosts", "all_hosts"])

@@ -153,18 +153,18 @@ def longest_suffix_join(df: DataFrame, host: str, table: ListTable, out: str,
     """
     by, found = list(by), []
     for depth in reversed(table.depths):
-        key, hit = "_tail", f"_hit{depth}"
+        key, hit = f"_tail{depth}", f"_hit{depth}"
         part = (
             table.df.filter(F.size(F.split("domain", "[.]")) == depth)
             .select(*by, F.col("domain").alias(key), F.struct("domain", *payload).alias(hit))
         )
         df = df.withColumn(key, F.substring_index(F.col(host), ".", -depth))
-        df = lookup_join(df, part, [*by, key], table.small).drop(key)
+        df = lookup_join(df, part, [*by, key], table.small)
         found.append(hit)
     if not found:
         fields = ", ".join(f"{c}: string" for c in ("domain", *payload))
         return df.withColumn(out, F.lit(None).cast(f"struct<{fields}>"))
-    return df.withColumn(out, F.coalesce(*found)).drop(*found)
+    return df.withColumn(out, F.coalesce(*found)).drop(*found, *[f"_tail{d}" for d in table.depths])
 
 
 def contained_domain_hosts(hosts: DataFrame, key: str, table: ListTable) -> DataFrame:

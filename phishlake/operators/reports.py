@@ -18,6 +18,7 @@ def verdict_counts(df: DataFrame, verdict: str = "verdict") -> DataFrame:
 def top_reasons(df: DataFrame, reasons: str = "reasons", k: int = 10) -> DataFrame:
     """The k most frequent reason codes; ties by code."""
     return (
-        df.select(F.explode(reasons).alias("reason")).groupBy("reason")
+        df.select(F.explode_outer(reasons).alias("reason")).filter("reason IS NOT NULL")
+        .groupBy("reason")
         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(k)
     )

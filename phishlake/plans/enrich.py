@@ -49,6 +49,8 @@ def enrich(scored: DataFrame, ages: DataFrame, phish: DataFrame, ts: str = "ts",
            reasons: str = "reasons") -> DataFrame:
     """Raise borderline scores from snapshots; other rows never reach the joins.
 
+    Pass a written verdict table: the gate is then a filter on its scan, and
+    scoring is not repeated for the two branches.
     ``scored`` needs ``entitled, phish_opt_in, claims_institution`` flags besides
     time, host, URL, score and reasons. ``ages`` is (host, value, fetched_at) with
     days; ``phish`` is (url, in_database, valid, fetched_at).

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from phishlake.functions import bands
 from phishlake.functions.message_parts import with_message_parts
 from phishlake.functions.reputation import sender_signals
+from phishlake.functions.settle import settled
 from phishlake.operators.lookalike import lookalike_pairs
 from phishlake.operators.lookups import (
     ListTable, contained_domain_hosts, longest_suffix_join, salted_join,
@@ -97,23 +98,17 @@ def with_predicate_inputs(messages: DataFrame, allow: ListTable, orgs: list[Org]
     """Message parts, organisation claims and host flags as columns."""
     lists = bounded_host_lists(allow)
     ctx = Context(tuple(orgs), lists or HostLists(), config.auth_checks)
-    df = (
-        with_message_parts(messages)
-        .withColumn("claimed_orgs", alias_claims(ctx))
-        .withColumn("sender_orgs", org_of_sender(ctx))
-    )
+    df = with_message_parts(messages).withColumns({
+        "claimed_orgs": alias_claims(ctx), "sender_orgs": org_of_sender(ctx)})
     if lists is not None:
-        for name, flag in host_flags(ctx).items():
-            df = df.withColumn(name, F.coalesce(flag, F.lit(False)))
-        return df, ctx
+        return df.withColumns({
+            name: F.coalesce(flag, F.lit(False)) for name, flag in host_flags(ctx).items()}), ctx
     parts = materialised(df.select(
         config.id_col, "sender", "link_hosts", "all_hosts", "anchor_hosts", "display_hay"),
         "message-hosts")
     flags = joined_host_flags(parts, allow, config.id_col)
     df = df.join(flags, config.id_col, "left")
-    for name in host_flags(ctx):
-        df = df.withColumn(name, F.coalesce(name, F.lit(False)))
-    return df, ctx
+    return df.withColumns({n: F.coalesce(n, F.lit(False)) for n in host_flags(ctx)}), ctx
 
 
 def official_contact(claimed: Column, orgs: list[Org]) -> Column:
@@ -139,15 +134,14 @@ def score_messages(messages: DataFrame, allow: ListTable, orgs: list[Org], rules
         F.col("sender.domain").isNotNull()
         & (F.col("from_in_allow") | (F.size("sender_orgs") > 0)), F.lit(False)))
     plain, counting = split_rules(rules)
-    names = []
-    for i, r in enumerate(plain + counting):
-        name = f"_rule{i}"
-        gate = F.lit(True) if is_structural(r) else ~F.col("sender_verified")
-        df = df.withColumn(name, gate & rule_condition(ctx, r))
-        names.append(name)
+    names = [f"_rule{i}" for i in range(len(rules))]
+    gates = [F.lit(True) if is_structural(r) else ~F.col("sender_verified")
+             for r in plain + counting]
     signals = sender_signals(F.col("sender.domain"), F.col("sender.local"))
-    for code, _, flag in signals:
-        df = df.withColumn(f"_sig_{code}", ~F.col("sender_verified") & flag)
+    df = df.withColumns({
+        **{n: g & rule_condition(ctx, r) for n, g, r in zip(names, gates, plain + counting)},
+        **{f"_sig_{code}": ~F.col("sender_verified") & flag for code, _, flag in signals},
+    })
 
     rows = [fired_struct(r.rule_id, r.weight, explanation(r, lang)) for r in plain + counting]
     fired = F.array_compact(F.array(*[
@@ -170,10 +164,11 @@ def score_messages(messages: DataFrame, allow: ListTable, orgs: list[Org], rules
         .withColumn("verdict", bands.band(F.col("score")))
         .withColumn("official_contact", official_contact(F.col("claimed_orgs"), orgs))
     )
-    return df.select(
+    df = df.select(
         config.id_col, "score", "verdict", "fired_rules", F.col("links").alias("extracted_links"),
         F.col("sender.domain").alias("sender_domain"), "sender_verified", "official_contact",
     )
+    return settled(df, ["score", "verdict", "fired_rules", "sender_verified", "official_contact"])
 
 
 def localised(fired: DataFrame, rules: DataFrame, lang: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from phishlake import fixed_values as fv
 from phishlake.functions import bands
 from phishlake.functions.hosts import ANY_HOST_SCHEMES, with_canonical_host
+from phishlake.functions.settle import settled
 from phishlake.functions.text import (
     any_term, distinct_terms, ends_with_any, host_under, matched_terms, text_or_empty,
 )
@@ -86,11 +87,11 @@ def score_pages(features: DataFrame, categories: list[Category],
 
     df = with_canonical_host(features, "url", "_page_host", ANY_HOST_SCHEMES)
     df = df.withColumn("_host", text_or_empty(F.col("_page_host"))).withColumn("_hay", haystack())
-    for i, c in enumerate(plain):
-        df = df.withColumn(f"_n{i}", category_hits(F.col("_hay"), c))
     flags = field_flags(credential, config, F.col("_host"), F.col("fields"), F.col("is_https"))
-    for name, flag in flags.items():
-        df = df.withColumn(f"_{name}", flag)
+    df = df.withColumns({
+        **{f"_n{i}": category_hits(F.col("_hay"), c) for i, c in enumerate(plain)},
+        **{f"_{name}": flag for name, flag in flags.items()},
+    })
 
     fired = [(F.col(f"_n{i}") > 0, c) for i, c in enumerate(plain)]
     total = F.lit(0)
@@ -107,5 +108,5 @@ def score_pages(features: DataFrame, categories: list[Category],
         .withColumn("categories_hit", bands.fired_codes(
             *[(f, c.name) for f, c in fired], (any_field, config.credential_category)))
     )
-    return df.select(*inputs, "content_score", "content_verdict", "content_reasons",
-                     "categories_hit")
+    out = ["content_score", "content_verdict", "content_reasons", "categories_hit"]
+    return settled(df.select(*inputs, *out), out)

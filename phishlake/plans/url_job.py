@@ -19,6 +19,7 @@ from phishlake.functions.hosts import (
     fold_lookalikes, has_fake_gov, has_risky_tld, hyphen_count, is_ip_host, label_runs,
     with_hosts,
 )
+from phishlake.functions.settle import settled
 from phishlake.operators.lookalike import (
     close_enough, host_keys, lookalike_targets, target_keys,
 )
@@ -200,4 +201,4 @@ def score_urls(urls: DataFrame, allow: ListTable, block: ListTable,
     out = [*inputs, "verdict", "score", "reasons", "official_url", "institution_name"]
     if keep_flags:
         out += ["host", "raw_host", "path", "idna_failed"]
-    return df.select(*out)
+    return settled(df.select(*out), out[len(inputs):len(inputs) + 5])
