@@ -151,15 +151,21 @@ def longest_suffix_join(df: DataFrame, host: str, table: ListTable, out: str,
     many labels: no row is multiplied and nothing is regrouped, and with a small
     list the whole step is map-side.
     """
-    by, found = list(by), []
+    by, found, base = list(by), [], df
     for depth in reversed(table.depths):
         key, hit = f"_tail{depth}", f"_hit{depth}"
         part = (
             table.df.filter(F.size(F.split("domain", "[.]")) == depth)
             .select(*by, F.col("domain").alias(key), F.struct("domain", *payload).alias(hit))
         )
-        df = df.withColumn(key, F.substring_index(F.col(host), ".", -depth))
-        df = lookup_join(df, part, [*by, key], table.small)
+        tail = F.substring_index(F.col(host), ".", -depth)
+        df = df.withColumn(key, tail)
+        if table.small:
+            df = df.join(F.broadcast(part), [*by, key], "left")
+        else:
+            # frequent tails are counted on the input, not on the joins so far
+            hot = hot_keys(base.select(*by, tail.alias(key)), [*by, key])
+            df = salted_join(df, part, [*by, key], hot=hot)
         found.append(hit)
     if not found:
         fields = ", ".join(f"{c}: string" for c in ("domain", *payload))
