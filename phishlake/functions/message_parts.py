@@ -13,7 +13,7 @@ from phishlake.functions.text import SPACE, text_or_empty, trim_space
 LINK = rf"""(?i)https?://[^{SPACE}<>"')\]]+"""
 PHONE = r"(?:\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}"
 ANCHOR = r"""(?i)<a[^>]*href=["']([^"']+)["'][^>]*>([^<]*)</a>"""
-EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
+EMAIL = r"(?i)[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,}"
 DOLLARS = rf"\$[{SPACE}]?([0-9][0-9,]*(?:\.[0-9]{{2}})?)"
 FROM_LINE = rf"(?im)^from:[{SPACE}]*(.+)$"
 ANGLED_SENDER = rf"^(.*?)<[{SPACE}]*([^<>{SPACE}]+@[^<>{SPACE}]+)[{SPACE}]*>$"
@@ -21,8 +21,14 @@ BARE_SENDER = rf"""[^{SPACE}"'<>]+@[^{SPACE}"'<>]+"""
 HOST_LIKE_TEXT = r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$"
 
 
-def _all(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+# every phone number holds this; it is much cheaper to look for
+PHONE_CORE = r"[0-9]{3}[-. ][0-9]{4}"
+
+
+def _all(c: Column, pattern: str, must_hold: str, group: int = 0) -> Column:
+    """All matches; texts without a piece that every match holds are not searched."""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    return F.when(c.contains(must_hold), found).otherwise(F.array().cast("array<string>"))
 
 
 def sender_text(from_hdr: Column, body: Column) -> Column:
@@ -60,21 +66,27 @@ def parse_sender(c: Column) -> Column:
 
 
 def extract_links(body: Column) -> Column:
-    return _all(text_or_empty(body), LINK)
+    return _all(text_or_empty(body), LINK, "://")
 
 
 def extract_phones(body: Column) -> Column:
-    return _all(text_or_empty(body), PHONE)
+    b = text_or_empty(body)
+    found = F.regexp_extract_all(b, F.lit(PHONE), F.lit(0))
+    return F.when(b.rlike(PHONE_CORE), found).otherwise(F.array().cast("array<string>"))
+
+
+def has_phone(body: Column) -> Column:
+    return body.rlike(PHONE_CORE) & body.rlike(PHONE)
 
 
 def extract_emails(body: Column) -> Column:
-    return _all(text_or_empty(body), EMAIL)
+    return _all(text_or_empty(body), EMAIL, "@")
 
 
 def extract_amounts(body: Column) -> Column:
     """Dollar amounts as doubles, grouping commas dropped."""
     return F.transform(
-        _all(text_or_empty(body), DOLLARS, 1),
+        _all(text_or_empty(body), DOLLARS, "$", 1),
         lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"),
     )
 
@@ -83,7 +95,7 @@ def extract_anchors(body: Column) -> Column:
     """array<struct<href,text>> of the HTML anchors."""
     b = text_or_empty(body)
     return F.transform(
-        F.arrays_zip(_all(b, ANCHOR, 1).alias("href"), _all(b, ANCHOR, 2).alias("text")),
+        F.arrays_zip(_all(b, ANCHOR, "</", 1).alias("href"), _all(b, ANCHOR, "</", 2).alias("text")),
         lambda a: F.struct(a["href"].alias("href"), trim_space(a["text"]).alias("text")),
     )
 
@@ -116,16 +128,16 @@ def with_message_parts(df: DataFrame) -> DataFrame:
         "_anchors": extract_anchors(F.col("body")),
         "reply_domain": F.when(F.coalesce(F.col("reply_to"), F.lit("")) != "",
                                parse_sender(F.col("reply_to"))["domain"]),
-        "subject_hay": F.lower(F.concat(
-            text_or_empty(F.col("subject")), F.lit("\n"), F.col("body"))),
     }).withColumns({
+        "subject_hay": F.concat(
+            F.lower(text_or_empty(F.col("subject"))), F.lit("\n"), F.col("body_lower")),
         "sender": parse_sender(F.col("_from")),
         "link_hosts": F.array_compact(hosts_of_urls("links")),
         "_hrefs": hosts_of_urls("_anchors.href", ANY_HOST_SCHEMES),
         "_texts": hosts_of_urls("_anchors.text", ANY_HOST_SCHEMES),
     }).withColumns({
-        "display_hay": F.lower(F.concat(
-            F.col("sender.display_name"), F.lit("\n"), F.col("body"))),
+        "display_hay": F.concat(
+            F.lower(F.col("sender.display_name")), F.lit("\n"), F.col("body_lower")),
         "anchor_hosts": F.zip_with(
             F.col("_hrefs"),
             F.zip_with(F.col("_texts"), texts, lambda h, t: F.coalesce(

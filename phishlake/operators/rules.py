@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from phishlake import fixed_values as fv
 from phishlake.functions.hosts import IP_PATTERN, close_enough_hosts, host_tails_in
 from phishlake.functions.message_parts import (
-    PHONE, extract_amounts, extract_emails,
+    extract_amounts, extract_emails, has_phone,
 )
 from phishlake.functions.text import (
     SPACE, WORD_END, WORD_START, any_term, claimed_groups, ends_with_any, host_under,
@@ -24,6 +24,7 @@ from phishlake.functions.text import (
 from phishlake.sources.lists import Org, Rule
 
 COUNT_KEY = "other_rules_triggered_count_gte"
+NINE_DIGITS = "[0-9]{3}[- ]?[0-9]{3}[- ]?[0-9]{3}"
 EXT_KEY, LOCKED_KEY = "attachment_extension_in", "or_password_protected_archive"
 
 
@@ -132,8 +133,12 @@ def _all_of(groups) -> Column:
 
 
 def _extension(arg) -> Column:
-    exts = "|".join(x.replace(".", r"\.", 1) for x in _strings(arg))
-    return c("body").rlike(rf"(?i)[^{SPACE}](?:{exts})(?:[^a-z0-9]|$)")
+    exts = [x.lower() for x in _strings(arg)]
+    pattern = "|".join(x.replace(".", r"\.", 1) for x in exts)
+    match = c("body").rlike(rf"(?i)[^{SPACE}](?:{pattern})(?:[^a-z0-9]|$)")
+    if all(x.replace(".", "", 1).isalnum() for x in exts):
+        match = _any(c("body_lower").contains(x) for x in exts) & match
+    return match
 
 
 def _free_mail_target(ctx, arg) -> Column:
@@ -173,9 +178,9 @@ PREDICATES: dict[str, Callable[[Context, object], Column]] = {
     "body_or_display_contains_any": lambda ctx, a: any_term(c("display_hay"), _terms(a)),
     "body_or_display_claims_institution": lambda ctx, a: F.size("claimed_orgs") > 0,
     "body_contains_all_of": lambda ctx, a: _all_of(a),
-    "body_contains_phone_number": lambda ctx, a: c("body").rlike(PHONE),
-    "body_contains_sin_pattern": lambda ctx, a: c("body").rlike(
-        rf"{WORD_START}[0-9]{{3}}[- ]?[0-9]{{3}}[- ]?[0-9]{{3}}{WORD_END}"),
+    "body_contains_phone_number": lambda ctx, a: has_phone(c("body")),
+    "body_contains_sin_pattern": lambda ctx, a: c("body").rlike(NINE_DIGITS) & c("body").rlike(
+        WORD_START + NINE_DIGITS + WORD_END),
     "body_dollar_amount_in_range": lambda ctx, a: _amount_in_range(a),
     "body_appears_ai_polished": lambda ctx, a: F.lit(False),
     # links
@@ -195,7 +200,8 @@ PREDICATES: dict[str, Callable[[Context, object], Column]] = {
     EXT_KEY: lambda ctx, a: _extension(a),
     LOCKED_KEY: lambda ctx, a: c("body").rlike(
         rf"(?i)password[- ]?protected[{SPACE}]+(zip|archive|rar|file)"),
-    "email_body_contains_html_form": lambda ctx, a: c("body").rlike(rf"(?i)<form{WORD_END}"),
+    "email_body_contains_html_form": lambda ctx, a: c("body").contains("<") & c("body").rlike(
+        rf"(?i)<form{WORD_END}"),
     "target_email_on_free_provider": _free_mail_target,
     "spf_or_dkim_or_dmarc_failed": lambda ctx, a: F.lit(ctx.auth_checks) & F.coalesce(
         c("auth_results"), F.lit("")).rlike(rf"(?i)(spf|dkim|dmarc)[{SPACE}]*=[{SPACE}]*fail"),
