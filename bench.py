@@ -34,7 +34,9 @@ HEADLINES = {
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
-    spark.range(1_000_000).selectExpr("sum(id)").collect()
+    # warm up the JVM and Python workers on another query, untimed
+    for query in ("u01_host_extraction", "s07_open_mail"):
+        CHECKS[query][0](spark, sf).write.format("noop").mode("overwrite").save()
     took, rates = {}, {}
     for name, (query, source) in HEADLINES.items():
         rows = spark.read.parquet(f"{sf}/{source}.parquet").count()

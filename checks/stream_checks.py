@@ -126,6 +126,16 @@ walk AS (
 SELECT key, event_id AS call_id, ok AS allowed FROM walk"""
 
 
+def w06(spark, sf):
+    """Hourly event counts, closed windows only: the watermark trails by ten minutes."""
+    counts = jobs.windowed_counts(
+        jobs.with_event_time(_stream(spark, sf, "events")), "ts", "1 hour", "event_type")
+    out = work_dir(spark, "closed")
+    jobs.write_closed_windows(counts, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/data").select(
+        F.unix_seconds("window_start").alias("hour"), "event_type", "n")
+
+
 def w07(spark, sf):
     """Verdicts per hour, streamed from the verdict table that the first job writes."""
     out = work_dir(spark, "windows")
@@ -148,6 +158,10 @@ CHECKS = {
     "w03_debounce_stream": (w03, f"WITH {BURSTS_SQL} SELECT mailbox, us AS micros, signature FROM calm"),
     "w04_override_stream": (w04, W04_SQL),
     "w05_rate_limit_stream": (w05, W05_SQL),
+    "w06_late_data_watermark": (w06, """SELECT hour, event_type, n FROM (
+        SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS n
+        FROM events GROUP BY 1, 2)
+        WHERE hour + 3600 <= (SELECT epoch(max(ts)) FROM events) - 600"""),
     "w07_windowed_verdicts": (w07, f"""WITH {_NAV_VERDICTS}
         SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, verdict, count(*) AS n FROM scored GROUP BY 1, 2"""),
 }

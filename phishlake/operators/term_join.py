@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from phishlake.functions.text import term_pattern
-from phishlake.operators.lookups import LOCAL_ROWS, lookup_join
+from phishlake.operators.lookups import BROADCAST_ROWS, LOCAL_ROWS, salted_join
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
@@ -35,16 +35,28 @@ def term_hits(texts: DataFrame, id_col: str, text_col: str, terms: DataFrame) ->
     text carries.
     """
     dic = dictionary(terms)
-    small = dic.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS
+    size = dic.limit(BROADCAST_ROWS + 1).count()
     words = F.array_distinct(F.concat(
         F.array(F.lit("")), F.split(F.lower(F.col(text_col)), "[^a-z0-9]+")))
     lowered = texts.select(id_col, F.lower(F.col(text_col)).alias("_text"),
                            words.alias("_words"))
-    if small:
+    if size > BROADCAST_ROWS:
+        return _hits_by_shuffle(lowered, id_col, dic)
+    if size <= LOCAL_ROWS:
         # only words that open a term are worth a row next to the text
         openers = [r[0] for r in dic.select("_word").distinct().collect()]
         lowered = lowered.withColumn(
             "_words", F.filter("_words", lambda w: w.isin(openers or [""])))
-    rows = lowered.select(id_col, "_text", F.explode("_words").alias("_word"))
-    hits = lookup_join(rows, dic, ["_word"], small, "inner")
+    rows = lowered.select(id_col, "_text", F.explode_outer("_words").alias("_word"))
+    hits = rows.join(F.broadcast(dic), "_word")
+    return hits.filter(F.rlike(F.col("_text"), F.col("_pattern"))).select(id_col, "group", "term")
+
+
+def _hits_by_shuffle(lowered: DataFrame, id_col: str, dic: DataFrame) -> DataFrame:
+    """For a dictionary too large to broadcast: find candidates from (id, word) pairs
+    alone, frequent words salted, then bring them to the texts, which move once."""
+    pairs = lowered.select(id_col, F.explode_outer("_words").alias("_word"))
+    wanted = salted_join(pairs, dic, ["_word"], how="inner").select(
+        id_col, "group", "term", "_pattern")
+    hits = lowered.select(id_col, "_text").join(wanted, id_col)
     return hits.filter(F.rlike(F.col("_text"), F.col("_pattern"))).select(id_col, "group", "term")

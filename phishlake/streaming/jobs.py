@@ -60,6 +60,16 @@ def write_counts(counts: DataFrame, out: str, checkpoint: str, **trigger) -> Str
     )
 
 
+def write_closed_windows(counts: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append each window once, when the watermark has passed its end; later rows
+    of a closed window are dropped."""
+    return (
+        counts.writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 # --- rate limit ---------------------------------------------------------------
 
 def _take(times: list[int], count: int, expires: int) -> tuple[list[bool], int, int]:

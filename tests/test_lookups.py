@@ -2,15 +2,16 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks import seeds
 from phishlake.functions.hosts import fold_lookalikes
 from phishlake.operators import lookups as L
+from phishlake.operators import term_join
 from phishlake.operators.asof import asof_ttl_join
 from phishlake.operators.lookalike import lookalike_pairs
 from phishlake.operators.neighbours import with_neighbour
-from phishlake.operators.term_join import term_hits
 from phishlake.plans.url_job import score_urls
 from phishlake.sources.lists import allow_table, block_table
 
@@ -128,13 +129,15 @@ def test_asof_expiry_is_strict_and_null_lives_an_hour(spark):
         (None, False), (5, True), (5, True), (None, False), (None, True), (None, True), (None, False)]
 
 
-def test_term_dictionary_join_on_edges(spark):
+@pytest.mark.parametrize("bound", [L.BROADCAST_ROWS, 0])
+def test_term_dictionary_join_on_edges(spark, monkeypatch, bound):
+    monkeypatch.setattr(term_join, "BROADCAST_ROWS", bound)
     texts = spark.createDataFrame([
         (1, "tax  refund"), (2, "a taxi refund"), (3, "écra"), (4, "GST/HST refund!"), (5, "d’impôt dû"),
         (6, "pay now"), (7, "§ 5")], "id int, text string")
     terms = spark.createDataFrame([
         ("g", "Tax refund"), ("g", "CRA"), ("g", "gst/hst refund"), ("g", "d’impôt"), ("g", "pay now"),
         ("g", "§"), ("g", "tax"), ("g", "tax")], "group string, term string")
-    got = {(r.id, r.term) for r in term_hits(texts, "id", "text", terms).collect()}
+    got = {(r.id, r.term) for r in term_join.term_hits(texts, "id", "text", terms).collect()}
     assert got == {(1, "Tax refund"), (1, "tax"), (3, "CRA"), (4, "gst/hst refund"), (5, "d’impôt"),
                    (6, "pay now"), (7, "§")}
