@@ -7,24 +7,30 @@ become an equality join, and the full bounded pattern decides the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from phishlake.functions.text import term_pattern
+from phishlake.functions.text import SPACE, SPACES
 from phishlake.operators.lookups import BROADCAST_ROWS, LOCAL_ROWS, salted_join
 
 
+def _pattern_column(term: Column) -> Column:
+    """The bounded pattern of ``functions.text.term_pattern``, built from a column."""
+    escaped = F.regexp_replace(
+        F.lower(term), r"([^\p{L}\p{M}\p{N}" + SPACE + "])", r"\\$1")
+    spaced = F.regexp_replace(escaped, SPACES, SPACES.replace("\\", "\\\\"))
+    return F.concat(F.lit("(?:^|[^a-z0-9])"), spaced, F.lit("(?:[^a-z0-9]|$)"))
+
+
 def dictionary(terms: DataFrame) -> DataFrame:
     """(group, term) -> plus first word and bounded pattern, one row per spelling.
 
-    Patterns are built once over the (small) dictionary, never per text.
+    Patterns are built once over the dictionary, never per text.
     """
-    pattern = F.udf(term_pattern, StringType())
     word = F.regexp_extract(F.lower("term"), "([a-z0-9]+)", 1)
     return (
         terms.filter(F.coalesce(F.col("term"), F.lit("")) != "").dropDuplicates(["group", "term"])
-        .select("group", "term", word.alias("_word"), pattern("term").alias("_pattern"))
+        .select("group", "term", word.alias("_word"), _pattern_column(F.col("term")).alias("_pattern"))
     )
 
 
