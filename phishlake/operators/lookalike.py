@@ -55,16 +55,18 @@ def host_keys(folded: str, lengths: list[int]) -> Column:
         for delta in range(-k, k + 1) for no in range(PIECES) for shift in _shifts(delta)
     )
     known = ", ".join(map(str, lengths or [-1]))
+    # cases whose target length does not occur go first, before any piece is cut
     return F.expr(f"""
-        transform(filter(transform(transform(transform(array({cases}),
+        transform(filter(transform(transform(filter(transform(array({cases}),
             c -> named_struct('no', c.no, 'shift', c.shift,
                               'm', CAST(length({folded}) - c.delta AS int))),
+            c -> c.m IN ({known})),
             c -> named_struct('no', c.no, 'shift', c.shift, 'm', c.m, 'one', CAST(c.m div 3 AS int),
                               'two', CAST((c.m - CAST(c.m div 3 AS int)) div 2 AS int))),
             c -> named_struct('m', c.m, 'no', c.no,
                 'at', c.shift + CASE c.no WHEN 0 THEN 0 WHEN 1 THEN c.one ELSE c.one + c.two END,
                 'len', CASE c.no WHEN 0 THEN c.one WHEN 1 THEN c.two ELSE c.m - c.one - c.two END)),
-            c -> c.m IN ({known}) AND c.at >= 0 AND c.at + c.len <= length({folded})),
+            c -> c.at >= 0 AND c.at + c.len <= length({folded})),
             c -> named_struct('m', c.m, 'no', c.no, 'piece', substr({folded}, c.at + 1, c.len)))
     """)
 
