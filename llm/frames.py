@@ -32,3 +32,19 @@ def with_twin(docs: DataFrame, key: str, text: str, out: str = "twin") -> DataFr
     joined = docs.withColumn("_here", F.xxhash64(text)).join(
         ranks, (F.col(key) == F.col("_key")) & (F.col("_here") == F.col("_mark")), "left")
     return joined.withColumn(out, F.coalesce(out, F.lit(0))).drop("_key", "_here", "_mark")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id",
+                    text: str = "text") -> DataFrame:
+    """(key, label, text) of the ``rows`` labelled ids with the smallest hash.
+
+    ``rows`` bounds the training set and therefore what is broadcast here; null labels and ids
+    do not count, an id with several labels takes the largest.
+    """
+    some = (
+        labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_id")).agg(F.max(label).alias("label"))
+        .orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    )
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
+        F.broadcast(some), F.col("key") == F.col("_id")).select("key", "label", "text")

@@ -14,6 +14,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Also every ASCII character that is no letter or digit: for vocabularies without punctuation.
+PUNCTUATED = _SPACE.copy()
+PUNCTUATED[[b for b in range(128) if not chr(b).isalnum()]] = True
 _tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -49,10 +52,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """All words of a run of texts: byte bounds, hashes and the first word of every text."""
 
-    def __init__(self, flat: np.ndarray, bounds: np.ndarray):
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray, blank: np.ndarray = _SPACE):
         n = len(flat)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = ~_SPACE[flat]
+        inside[1:-1] = ~blank[flat]
         starts = inside[1:-1] & ~inside[:-2]
         # a text starts a new word even where the text before it ends without white space
         cut = bounds[1:-1]
@@ -66,8 +69,13 @@ class Words:
         power, inverse = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_CODES[flat] * power[:n], out=total[1:])
-        raw = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        self.hash = mix(raw + (self.ends - self.starts).astype(np.uint64))
+        self._total, self._inverse = total, inverse
+        self.hash = self.bytes_hash(self.starts, self.ends)
+
+    def bytes_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of every byte range; equal bytes give equal hashes."""
+        raw = (self._total[ends] - self._total[starts]) * self._inverse[starts]
+        return mix(raw + (ends - starts).astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.starts)
