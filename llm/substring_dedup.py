@@ -16,14 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm.frames import with_twin
 from llm.words import Words, joined, sliced, spans, text_bytes, whole_spans
 
-WIDTH = 6  # bytes of a window's hash that travel; its minimizer's 64 bits come on top
+WIDTH = 5  # bytes of a window's hash that travel; its minimizer's 64 bits come on top
 _EDGES = "anchor long, doc long, place long, windows binary, more binary"
 _PATHS = "doc long, twin int, at int, n int, src_doc long, src_at int"
 _MORE = np.dtype([("doc", "<i8"), ("place", "<i8")])
@@ -205,7 +207,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, seed: int = 4) -> DataFrame:
     )
 
 
-def _cut(k: int):
+def _cut(k: int, rejoin: bool):
     def run(batches):
         for batch in batches:
             for part in sliced(batch, "text"):
@@ -224,24 +226,28 @@ def _cut(k: int):
                 columns = {name: part.column(name) for name in part.schema.names if name not in ("cuts", "text")}
                 columns["n_words"] = pa.array(words.counts.astype(np.int64))
                 columns["n_removed"] = pa.array(np.diff(total).astype(np.int64))
-                columns["kept"] = joined(words, flat, keep)
+                kept = joined(words, flat, keep)
+                columns["kept"] = kept if rejoin else pc.if_else(
+                    pc.greater(columns["n_removed"], 0), kept, part.column("text"))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
     return run
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 13,
-                     seed: int = 4) -> DataFrame:
-    """(key, n_words, n_removed, kept): every text without its earlier-seen words.
+                     seed: int = 4, carry: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
+    """(key, carry, n_words, n_removed, kept): every text without its earlier-seen words.
 
     A word goes if a window of ``k`` words over it also starts in a document with a smaller
-    id. ``kept`` joins the remaining words by one space. One row per input row.
+    id. ``kept`` joins the remaining words by one space; without ``rejoin`` a text that loses
+    nothing stays as it is. One row per input row; ``carry`` names columns to pass through.
     """
-    named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    named = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"),
+                        *(F.col(c).alias(f"carry_{c}") for c in carry))
     named = with_twin(named, "doc", "text")
     cuts = repeated_spans(named, k, seed).groupBy("doc", "twin").agg(
         F.collect_list(F.struct("at", "n")).alias("cuts"))
-    return (
-        named.join(cuts, ["doc", "twin"], "left").select("doc", "text", "cuts")
-        .mapInArrow(_cut(k), "doc long, n_words long, n_removed long, kept string")
-        .withColumnRenamed("doc", key)
-    )
+    joined_ = named.join(cuts, ["doc", "twin"], "left").drop("twin")
+    schema = T.StructType([f for f in joined_.schema if f.name not in ("text", "cuts")])
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return joined_.mapInArrow(_cut(k, rejoin), schema).withColumnsRenamed(
+        {"doc": key} | {f"carry_{c}": c for c in carry})
