@@ -5,7 +5,9 @@ trusted target texts and one of the whole corpus, give every bin a log ratio; a
 mean over its n-grams. A text is kept if the base rules hold and its mean ratio reaches a fixed
 threshold: the same text and counts always give the same verdict.
 
-The corpus is counted in one pass (map-side sums over at most ``buckets`` keys). The log ratios are
+The corpus is counted in one pass over all texts (map-side sums over at most ``buckets`` keys); the
+target is fitted on at most ``trusted_rows`` trusted ids, those with the smallest hash, which bounds
+the one table that is broadcast. The log ratios are
 one array of ``buckets`` doubles, bounded whatever the corpus, that enters the scoring scan as a
 scalar subquery.
 
@@ -76,13 +78,17 @@ def _hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int, prior: float) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int, prior: float,
+               trusted_rows: int) -> DataFrame:
     """One row, one array: log of target over corpus probability for every bin.
 
     The target is smoothed with ``prior`` pseudo-counts per seen corpus bin in corpus proportions.
     """
-    marked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(
-        trusted.select(F.col(key).alias("_id"), F.lit(1).alias("_good")).distinct(), "_id", "left")
+    good = (
+        trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.lit(1).alias("_good")).distinct()
+        .orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows)
+    )
+    marked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(good), "_id", "left")
     counts = (
         marked.select("_good", F.explode(let(_hashes(F.col("_text")), lambda h: grams_of(h, buckets))).alias("bin"))
         .groupBy("bin").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
@@ -104,9 +110,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets
 
 
 def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 1 << 16,
-          prior: float = 1.0, threshold: float = -0.2, least_words: int = 20, most_repeated: int = 30) -> DataFrame:
+          prior: float = 1.0, threshold: float = -0.2, least_words: int = 20, most_repeated: int = 30,
+          trusted_rows: int = 50_000) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept)."""
-    ratios = log_ratios(docs, trusted, key, text, buckets, prior).scalar()
+    ratios = log_ratios(docs, trusted, key, text, buckets, prior, trusted_rows).scalar()
     body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import warc_store
+from llm import twins, warc_store
 from llm.byte_bpe import tokenize
 from llm.chat_format import format_turns, read_back
 from llm.frames import table
@@ -28,7 +28,7 @@ def op1_html_extraction(spark, sf_dir):
 
 def op2_warc(spark, sf_dir):
     archive = warc_store.write(table(spark, sf_dir, "pages"))
-    return warc_store.summary(warc_store.read(spark, archive))
+    return warc_store.summary(warc_store.read(spark, archive)).drop("record_bytes")
 
 
 def op3_chat_format(spark, sf_dir):
@@ -82,4 +82,6 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_warc, op3_chat_format, op4_ngram_jaccard_join, op5_template_decontamination, op6_substring_dedup,
     op7_quality_rules, op8_byte_bpe, op9_toxicity, op10_quality_classifier)}
-SQL: dict[str, str] = {}
+SQL = {
+    "op2_warc": twins.WARC, "op3_chat_format": twins.CHAT, "op4_ngram_jaccard_join": twins.JACCARD,
+    "op6_substring_dedup": twins.SUBSTRINGS}
