@@ -93,21 +93,20 @@ def nav(spark: SparkSession, sf: str) -> DataFrame:
     n = pages.count()
     views = table(spark, sf, "events").filter("event_type = 'view'").select(
         "event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"),
-        (F.get_json_object("props", "$.k").cast("long") % n).alias("page_id"))
+        (F.col("event_id") % n).alias("page_id"))
     return views.join(pages, "page_id").select("event_id", "session_id", "ts", "url")
 
 
 NAV_SQL = """nav AS (
     SELECT event_id, user_id AS session_id, ts, url FROM (
-        SELECT *, CAST(json_extract(props, '$.k') AS BIGINT)
-               % (SELECT count(*) FROM pages) AS page_id
+        SELECT *, event_id % (SELECT count(*) FROM pages) AS page_id
         FROM events WHERE event_type = 'view') e JOIN pages USING (page_id))"""
 
 
 # --- messages -------------------------------------------------------------------
 SNIPPETS = [
     "",
-    "Pay now with a gift card or wire transfer. Call 1-800-555-0199.",
+    "Pay now with a gift card or wire transfer. Call 1-800-555-0142.",
     "See https://ththen.example.com/a and https://thther.example.org/x).",
     "Invoice total $450 call (416) 555-0134 today. http://192.168.4.7/pay",
     "Owed $1,250.50 or $5000 see http://3232235777/x",
@@ -171,7 +170,7 @@ FORMS = [
 # name|id|placeholder|type|autocomplete|label per kept field
 FORM_FIELDS = [
     "", "q1|f1||text||Social number", "c||code|text|cc-csc|Enter CVV", "",
-    "pw|||password||;|s||select-one||", "casino||casino|textarea||", "a79|||text||",
+    "pw|||password||;|s||select-one||", "casino||casino|textarea||", "a79|||text||;cvv|||text||",
 ]
 
 
@@ -204,12 +203,12 @@ stripped AS (
     FROM forms),
 features AS (
     SELECT page_id, url, coalesce(regexp_matches(url, '^https:'), FALSE) AS is_https,
-        left(trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
-            '&quot;', '"'), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')), 300) AS title,
+        (trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
+            '&quot;', '"'), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g'))) AS title,
         concat('About page ', page_id) AS meta_description,
-        left(trim(regexp_replace(regexp_replace(
+        (trim(regexp_replace(regexp_replace(
             replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
-            '&amp;', '&'), ' +', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), concat(' ', chr(10))), 30000) AS text,
+            '&amp;', '&'), ' +', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), concat(' ', chr(10)))) AS text,
         {sql_pick(FORM_FIELDS, 'page_id')} AS field_text,
         page_id % {len(FORMS)} AS form
     FROM stripped)"""

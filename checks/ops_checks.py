@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import seeds
 from checks.inputs import NAV_SQL, PAGE_URLS_SQL, nav, page_urls, pick, sql_pick, table
 from checks.url_checks import _C, verdict_ctes
-from phishlake import fixed_values as fv
 from phishlake.functions.hosts import with_canonical_host, with_hosts
 from phishlake.functions.message_parts import build_raw_text
 from phishlake.functions.text import fill_template
@@ -22,7 +21,6 @@ from phishlake.sources.sinks import fp_reports, write_verdicts
 from phishlake.sources.workdir import work_dir
 
 _HOST = "regexp_replace(regexp_extract(url, '^https?://([^/]+)', 1), '^www[.]', '')"
-FEED_CAP = 200
 
 
 def _feed(spark, sf):
@@ -34,12 +32,12 @@ def _feed(spark, sf):
 
 _FEED_SQL = f"""feed AS (SELECT page_id, CASE page_id % 5 WHEN 1 THEN NULL WHEN 2 THEN NULL
     ELSE {_HOST.replace('(url,', '(lower(url),')} END AS host FROM pages),
-bad AS (SELECT host FROM feed WHERE host IS NOT NULL GROUP BY host ORDER BY min(page_id) LIMIT {FEED_CAP})"""
+bad AS (SELECT host FROM feed WHERE host IS NOT NULL GROUP BY host)"""
 
 
 def s01(spark, sf):
     """Write the built list as a list file, then load it through the fall-back chain."""
-    hosts = build_known_bad(_feed(spark, sf), FEED_CAP)
+    hosts = build_known_bad(_feed(spark, sf))
     body = hosts.agg(F.sort_array(F.collect_list("host")).alias("domains")).select(
         F.to_json(F.struct(F.lit("1.0.1").alias("version"), "domains")).alias("value"))
     base = work_dir(spark, "lists")
@@ -76,7 +74,7 @@ UNION ALL SELECT 'sender_orgs', 'malformed', count(*), count(*) FILTER (doc_id %
 
 
 def s03(spark, sf):
-    return build_known_bad(_feed(spark, sf), FEED_CAP).withColumn("version", next_version(F.lit("1.4.9")))
+    return build_known_bad(_feed(spark, sf)).withColumn("version", next_version(F.lit("1.4.9")))
 
 
 def s04(spark, sf):
@@ -105,7 +103,7 @@ def s06(spark, sf):
     anchors = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
         F.concat(F.lit("https://a.example/"), i).alias("href"), F.concat(F.lit("t"), i).alias("text")))
     body = F.concat("text", F.lit("\n"), "text", F.lit("\n"), "text")
-    raw = build_raw_text(pick(_SUBJECT, "doc_id"), body, anchors, fv.MAIL_TEXT_CHARS, fv.MAIL_ANCHORS)
+    raw = build_raw_text(pick(_SUBJECT, "doc_id"), body, anchors)
     return table(spark, sf, "documents").select(
         "doc_id", F.md5(raw).alias("raw_md5"), F.length(raw).cast("bigint").alias("n_chars"))
 
@@ -113,7 +111,7 @@ def s06(spark, sf):
 S06_SQL = f"""WITH z AS (SELECT doc_id, {sql_pick(_SUBJECT, 'doc_id')} AS subj,
     concat(text, chr(10), text, chr(10), text) AS body FROM documents),
 y AS (SELECT doc_id, concat(CASE WHEN coalesce(subj, '') <> '' THEN concat('Subject: ', subj, chr(10)) ELSE '' END,
-    left(body, {fv.MAIL_TEXT_CHARS}), array_to_string(list_transform(range(1, CAST(least(doc_id % 70 + 1, {fv.MAIL_ANCHORS}) AS INTEGER) + 1),
+    body, array_to_string(list_transform(range(1, CAST(doc_id % 70 + 1 AS INTEGER) + 1),
     lambda i: concat(chr(10), '<a href="https://a.example/', i, '">t', i, '</a>')), '')) AS r FROM z)
 SELECT doc_id, md5(r) AS raw_md5, len(r) AS n_chars FROM y"""
 

@@ -50,7 +50,7 @@ def s05(spark, sf):
         F.size("fields").alias("n_fields"), field_text(F.col("fields")).alias("field_text"))
 
 
-_N_FIELDS = "[0, 1, 1, 0, 2, 1, 1][form + 1]"
+_N_FIELDS = "[0, 1, 1, 0, 2, 1, 2][form + 1]"
 
 # --- terms over documents (whole texts) -------------------------------------------
 
@@ -124,7 +124,7 @@ PAGE_SQL = f"""{FEATURES_SQL},
 fx AS (SELECT *, {_HAY} AS hay, regexp_extract(url, '^https?://([^/]+)', 1) AS page_host FROM features),
 fy AS (SELECT *, {', '.join(f"{_score_sql('hay', c)} AS s_{c.name}, {_hits_sql('hay', c)} AS n_{c.name}" for c in _PLAIN)},
     form = 1 AND NOT ends_with(page_host, '.example.net') AS sin,
-    form = 4 AND NOT is_https AS pwd, form = 2 AS cvv FROM fx),
+    form = 4 AND NOT is_https AS pwd, form IN (2, 6) AS cvv FROM fx),
 pv AS (SELECT *, least(100, {' + '.join(f's_{c.name}' for c in _PLAIN)}
     + CASE WHEN sin THEN 25 ELSE 0 END + CASE WHEN pwd THEN 25 ELSE 0 END
     + CASE WHEN cvv THEN 25 ELSE 0 END) AS content_score,
@@ -345,7 +345,7 @@ CHECKS = {
                             f"WITH {PAGE_SQL} SELECT page_id, CAST(cvv AS INTEGER) AS fired FROM pv"),
     "c08_credential_defaults": (c08, f"""WITH {PAGE_SQL} SELECT page_id, CAST(least(100,
         {' + '.join(f's_{c.name}' for c in _PLAIN)} + CASE WHEN pwd THEN 25 ELSE 0 END
-        + CASE WHEN cvv THEN 25 ELSE 0 END) AS INTEGER) AS content_score FROM pv"""),
+        + CASE WHEN form = 2 THEN 25 ELSE 0 END) AS INTEGER) AS content_score FROM pv"""),
     "c09_page_verdict": (c09, f"""WITH {PAGE_SQL} SELECT page_id, CAST(content_score AS INTEGER) AS content_score,
         {BAND_SQL.format(s='content_score')} AS content_verdict, array_to_string(content_reasons, ',') AS reasons FROM pv"""),
     "b01_bands": (b01, f"""SELECT doc_id, verdict, CAST({RANK_SQL.format(v='verdict')} AS INTEGER) AS rank FROM (

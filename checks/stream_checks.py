@@ -33,7 +33,7 @@ def nav_stream(spark, sf):
     n = pages.count()
     views = _stream(spark, sf, "events").filter("event_type = 'view'").select(
         "event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"),
-        (F.get_json_object("props", "$.k").cast("long") % n).alias("page_id"))
+        (F.col("event_id") % n).alias("page_id"))
     return views.join(pages, "page_id").select("event_id", "session_id", "ts", "url")
 
 

@@ -21,6 +21,7 @@ from llm.template_decontam import remove_contaminated
 from llm.toxicity import fit, keep_clean
 from phishlake.sources.workdir import materialised
 
+BPE_RANKS = "byte_bpe_50k.tiktoken"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -52,7 +53,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = public_tokenizers.path(BPE_RANKS)
     coded = tokenize(docs, ranks, public_tokenizers.PATTERN)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -101,17 +101,19 @@ def extract_anchors(body: Column) -> Column:
 
 
 def build_raw_text(subject: Column, body: Column, anchors: Column,
-                   max_chars: int, max_anchors: int) -> Column:
-    """Subject line, capped body and the first anchors written out again."""
+                   max_chars: int | None = None, max_anchors: int | None = None) -> Column:
+    """Subject line, body and the anchors written out again; the limits are optional."""
+    anchors = F.coalesce(anchors, F.array().cast("array<struct<href:string,text:string>>"))
+    text = text_or_empty(body)
     head = F.when(
         F.coalesce(subject, F.lit("")) != "", F.concat(F.lit("Subject: "), subject, F.lit("\n"))
     ).otherwise("")
     tail = F.array_join(F.transform(
-        F.slice(F.coalesce(anchors, F.array().cast("array<struct<href:string,text:string>>")),
-                1, max_anchors),
+        anchors if max_anchors is None else F.slice(anchors, 1, max_anchors),
         lambda a: F.concat(F.lit('\n<a href="'), a["href"], F.lit('">'), a["text"], F.lit("</a>")),
     ), "")
-    return F.concat(head, F.substr(text_or_empty(body), F.lit(1), F.lit(max_chars)), tail)
+    return F.concat(
+        head, text if max_chars is None else F.substr(text, F.lit(1), F.lit(max_chars)), tail)
 
 
 def with_message_parts(df: DataFrame) -> DataFrame:

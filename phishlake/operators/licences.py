@@ -30,16 +30,19 @@ def licence_state(events: DataFrame) -> DataFrame:
     """
     e = events.withColumn("effect", event_effect(F.col("event_type"), F.col("status"))).filter(
         "effect IS NOT NULL")
+    # nothing can close a key without a subscription: those rows need no order
+    free = e.filter("subscription_id IS NULL AND effect = 'open'").select(
+        "licence_key", "subscription_id", F.lit("active").alias("status"))
     # the event after an opening decides: the next open or close of the subscription
     e = with_neighbour(
-        e.select("subscription_id", "licence_key", "effect", "ts"), ["subscription_id"], "ts",
+        e.filter("subscription_id IS NOT NULL").select(
+            "subscription_id", "licence_key", "effect", "ts"), ["subscription_id"], "ts",
         ["effect"], "_next", ahead=True, tie=["effect", "licence_key"],
         bucket_seconds=30 * 86_400)
-    closed = F.col("subscription_id").isNotNull() & F.coalesce(
-        F.col("_next.effect") == "close", F.lit(False))
+    closed = F.coalesce(F.col("_next.effect") == "close", F.lit(False))
     return e.filter("effect = 'open'").select(
         "licence_key", "subscription_id",
-        F.when(closed, "inactive").otherwise("active").alias("status"))
+        F.when(closed, "inactive").otherwise("active").alias("status")).unionByName(free)
 
 
 def verify_keys(keys: DataFrame, state: DataFrame, prefix: str, key: str = "key") -> DataFrame:

@@ -17,9 +17,8 @@ from pyspark.sql.types import StructType
 
 LOCAL_ROWS = 20_000
 BROADCAST_ROWS = 200_000
-HOT_KEYS = 1_000
-HOT_ROWS = 1_000_000
-SALTS = 64
+ROWS_PER_SALT = 1_000_000
+NULL_SALTS = 1_024
 
 
 def local_frame(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:
@@ -80,48 +79,49 @@ def last_per_domain(df: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: list[str], count: str | None = None,
-             min_rows: int | None = None, top: int | None = None) -> DataFrame:
-    """The most frequent keys: at most ``top`` rows, so always safe to broadcast.
+             rows_per_salt: int | None = None) -> DataFrame:
+    """(keys, _salts) of every key with more rows than one salt bucket should hold.
 
-    Any key left out holds at most ``1/top`` of all rows or fewer than
-    ``min_rows`` rows.
+    There is at most one such key per ``rows_per_salt`` rows of ``df``, which bounds
+    the table for a broadcast: a trillion rows give a million narrow rows at most.
+    Null keys match nothing and are left to :func:`salted_join`.
     """
-    min_rows = HOT_ROWS if min_rows is None else min_rows
-    top = HOT_KEYS if top is None else top
+    size = ROWS_PER_SALT if rows_per_salt is None else rows_per_salt
     counts = df if count else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     n = F.col(count or "_n")
-    return (
-        counts.filter(n >= min_rows).orderBy(n.desc(), *keys).limit(top)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return counts.filter((n > size) & known).select(*keys, F.ceil(n / size).cast("int").alias("_salts"))
 
 
 def salted_join(big: DataFrame, dim: DataFrame, keys: list[str],
                 hot: DataFrame | None = None, spread: Iterable[str] | None = None,
-                salts: int = SALTS, how: str = "left",
-                where: Column | None = None) -> DataFrame:
+                how: str = "left", where: Column | None = None) -> DataFrame:
     """Left or inner join on keys where single keys may hold a large share of ``big``.
 
-    ``where`` adds a condition to the key equality (columns of both sides). Rows of
-    hot keys are spread over ``salts`` buckets by a hash of their other
-    columns (stable under task retries) and the matching ``dim`` rows are repeated
-    per bucket; all other keys use bucket 0.
+    ``where`` adds a condition to the key equality (columns of both sides). Rows of a
+    hot key are spread by a hash of their other columns (stable under task retries)
+    over as many buckets as its row count asks for, and the matching ``dim`` rows are
+    repeated per bucket; all other keys use bucket 0. Rows with a null key find
+    nothing and are spread over buckets that no ``dim`` row has.
     """
     hot = hot_keys(big, keys) if hot is None else hot
     spread = list(spread) if spread else [c for c in big.columns if c not in keys]
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int") \
-        if spread else F.lit(0)
+    mark = F.xxhash64(*[F.col(c) for c in spread]) if spread else F.lit(0)
+    unknown = F.lit(False)
+    for k in keys:
+        unknown = unknown | F.col(k).isNull()
     left = (
         big.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)))
-        .drop("_hot")
+        .withColumn("_salt", F.when(unknown, -1 - F.pmod(mark, F.lit(NULL_SALTS)))
+                    .otherwise(F.pmod(mark, F.coalesce("_salts", F.lit(1)))).cast("int"))
+        .drop("_salts")
     )
     right = (
         dim.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode_outer(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-            .otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+        .drop("_salts")
     )
     if where is None:
         return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -233,6 +233,8 @@ def rule_condition(ctx: Context, rule: Rule) -> Column:
     if LOCKED_KEY in match:
         pair = predicate(ctx, LOCKED_KEY, match[LOCKED_KEY])
         if EXT_KEY in match:
+            if not isinstance(match[EXT_KEY], (list, tuple)):
+                return F.lit(False)  # a malformed list drops the whole rule
             pair = pair | predicate(ctx, EXT_KEY, match[EXT_KEY])
         out = out & pair
         rest = [k for k in rest if k not in (LOCKED_KEY, EXT_KEY)]

@@ -1,9 +1,10 @@
 """Message verdicts.
 
-Everything that reads a body is worked out on the row, so bodies are never
-shuffled. Host checks also stay on the row while the allow-list is within its
-size bound; beyond it the narrow results are written once, hosts are exploded,
-resolved per distinct host and folded back per message.
+Everything that reads a body is worked out on the row. Host checks also stay on the
+row while the allow-list is within its size bound; beyond it the narrow results are
+written once, hosts are exploded, resolved per distinct host and folded back per row.
+Both ways give each row its own flags: the key that they come back by is a hash of the
+whole input row, so neither repeated nor null ids mix rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from phishlake.sources.lists import Org, Rule
 from phishlake.sources.workdir import materialised
 
 ROW_LOCAL_DOMAINS = 5_000
+ROW_KEY = "_row"
 
 
 @dataclass(frozen=True)
@@ -98,16 +100,20 @@ def with_predicate_inputs(messages: DataFrame, allow: ListTable, orgs: list[Org]
     """Message parts, organisation claims and host flags as columns."""
     lists = bounded_host_lists(allow)
     ctx = Context(tuple(orgs), lists or HostLists(), config.auth_checks)
+    if lists is None:
+        columns = [F.col(c) for c in messages.columns]
+        messages = messages.withColumn(ROW_KEY, F.struct(
+            F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")))
     df = with_message_parts(messages).withColumns({
         "claimed_orgs": alias_claims(ctx), "sender_orgs": org_of_sender(ctx)})
     if lists is not None:
         return df.withColumns({
             name: F.coalesce(flag, F.lit(False)) for name, flag in host_flags(ctx).items()}), ctx
     parts = materialised(df.select(
-        config.id_col, "sender", "link_hosts", "all_hosts", "anchor_hosts", "display_hay"),
+        ROW_KEY, "sender", "link_hosts", "all_hosts", "anchor_hosts", "display_hay"),
         "message-hosts")
-    flags = joined_host_flags(parts, allow, config.id_col)
-    df = df.join(flags, config.id_col, "left")
+    flags = joined_host_flags(parts, allow, ROW_KEY)
+    df = df.join(flags, ROW_KEY, "left").drop(ROW_KEY)
     return df.withColumns({n: F.coalesce(n, F.lit(False)) for n in host_flags(ctx)}), ctx
 
 
@@ -176,7 +182,7 @@ def localised(fired: DataFrame, rules: DataFrame, lang: str) -> DataFrame:
     text = F.coalesce(
         F.when(F.lit(lang) == "fr", F.nullif("user_explanation_fr", F.lit(""))),
         F.nullif("user_explanation", F.lit("")), F.col("rule_id"))
-    return fired.join(F.broadcast(rules), "rule_id", "left").withColumn("explanation", text).drop(
+    return fired.join(rules, "rule_id", "left").withColumn("explanation", text).drop(
         "user_explanation", "user_explanation_fr")
 
 

@@ -26,8 +26,10 @@ from phishlake.operators.lookalike import (
 from phishlake.operators.lookups import (
     ListTable, hot_keys, local_frame, longest_suffix_join, lookup_join, salted_join,
 )
+from phishlake.sources.workdir import materialised
 
 HOST_KEYS = ["host", "raw_host"]
+_JOIN_KEYS = {"host": "_host_key", "raw_host": "_raw_host_key"}
 
 
 @dataclass(frozen=True)
@@ -124,13 +126,35 @@ def with_host_facts(parsed: DataFrame, allow: ListTable, block: ListTable,
         parsed.filter(F.col("is_web"))
         .groupBy(*HOST_KEYS).agg(F.count(F.lit(1)).alias("_rows"))
     )
-    facts = host_facts(hosts, allow, block, config)
-    return salted_join(parsed, facts, HOST_KEYS,
-                            hot=hot_keys(hosts, HOST_KEYS, count="_rows"))
+    facts = host_facts(hosts, allow, block, config).withColumnsRenamed(_JOIN_KEYS)
+    hot = hot_keys(hosts, HOST_KEYS, count="_rows").withColumnsRenamed(_JOIN_KEYS)
+    # rows that are no web address have no facts: a null key spreads them over all tasks
+    keyed = parsed.withColumns({
+        k: F.when(F.col("is_web"), F.col(c)) for c, k in _JOIN_KEYS.items()})
+    return salted_join(keyed, facts, list(_JOIN_KEYS.values()), hot=hot).drop(*_JOIN_KEYS.values())
 
 
 def _with_user_flags(df: DataFrame, user_lists: ListTable, tenant: str) -> DataFrame:
-    """Flags from the tenant's own allow and block lists."""
+    """Flags from the tenant's own allow and block lists.
+
+    Lists too long to broadcast are resolved once per distinct (tenant, host), from a
+    written table of those pairs, so their joins never repeat what led to the rows.
+    """
+    if user_lists.small:
+        return _user_flags(df, user_lists, tenant)
+    pairs = materialised(
+        df.groupBy(tenant, "host", "idna_failed").agg(F.count(F.lit(1)).alias("_rows")), "tenant-hosts")
+    flags = _user_flags(pairs, user_lists, tenant)
+    hot = hot_keys(pairs, [tenant, "host"], count="_rows").groupBy(tenant, "host").agg(
+        F.sum("_salts").cast("int").alias("_salts"))
+    flags = flags.groupBy(tenant, "host").agg(
+        F.max("user_allow").alias("user_allow"), F.max("user_block").alias("user_block"))
+    found = salted_join(df, flags, [tenant, "host"], hot=hot)
+    return found.withColumns({
+        c: F.coalesce(c, F.lit(False)) & ~F.col("idna_failed") for c in ("user_allow", "user_block")})
+
+
+def _user_flags(df: DataFrame, user_lists: ListTable, tenant: str) -> DataFrame:
     for kind, flag in (("allow", "user_allow"), ("block", "user_block")):
         part = ListTable(
             user_lists.df.filter(F.col("kind") == kind)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phishlake import fixed_values as fv
 from phishlake.functions.hosts import ANY_HOST_SCHEMES, strip_www, with_canonical_host
 
 
@@ -21,18 +20,20 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def build_known_bad(feed: DataFrame, cap: int = fv.KNOWN_BAD_CAP) -> DataFrame:
-    """Hosts of the feed, first ``cap`` distinct ones in feed order, sorted.
+def build_known_bad(feed: DataFrame, cap: int | None = None) -> DataFrame:
+    """Distinct hosts of the feed, sorted.
 
-    The cap is the size of the published list, a top-k by first appearance.
+    ``cap`` keeps the first ones in feed order, for lists that must stay as small as
+    ``fixed_values.KNOWN_BAD_CAP``; without it no host is left out.
     """
     df = with_canonical_host(feed, "line", "_host", ANY_HOST_SCHEMES)
     hosts = df.select("ord", strip_www(F.col("_host")).alias("host"))
     first = (
         hosts.filter(F.coalesce(F.col("host").contains("."), F.lit(False)))
         .groupBy("host").agg(F.min("ord").alias("ord"))
-        .orderBy("ord").limit(cap)
     )
+    if cap is not None:
+        first = first.orderBy("ord").limit(cap)
     return first.select("host").orderBy("host")
 
 

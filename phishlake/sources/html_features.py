@@ -17,10 +17,8 @@ from pyspark.sql import DataFrame
 
 from phishlake import fixed_values as fv
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S,
-)
+_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _ANY_SPACE = re.compile(r"\s+")
@@ -38,6 +36,23 @@ _INPUT_TYPES = {"button", "checkbox", "color", "date", "datetime-local", "email"
                 "search", "submit", "tel", "text", "time", "url", "week"}
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a page is read; None reads all of it."""
+
+    title: int | None = None
+    meta: int | None = None
+    text: int | None = None
+    fields: int | None = None
+    label: int | None = None
+    anchors: int | None = None
+
+
+#: What the browser reads of a page, for callers that want the same cut.
+BROWSER_LIMITS = Limits(fv.TITLE_CHARS, fv.META_CHARS, fv.TEXT_CHARS, fv.MAX_FIELDS, fv.LABEL_CHARS,
+                        fv.MAIL_ANCHORS)
+
+
 @dataclass
 class Node:
     tag: str
@@ -95,22 +110,69 @@ def _attrs(text: str) -> dict[str, str]:
     return out
 
 
+class _Scanner:
+    """Markup after a position, in one forward pass: nothing is sought twice in vain."""
+
+    def __init__(self, html: str):
+        self.html, self.missing = html, set()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag's ``>`` is; a quote opens a value only where it finds its pair."""
+        while True:
+            stop = _TAG_STOP.search(self.html, at)
+            if stop is None or stop[0] == ">":
+                return stop.start() if stop else -1
+            close = self._find(stop[0], stop.end())
+            at = stop.end() if close < 0 else close + 1
+
+    def next(self, at: int):
+        """(start, end, closing, tag, attributes) of the next markup; tag '' for comments."""
+        while True:
+            start = self.html.find("<", at)
+            if start < 0:
+                return None
+            if self.html.startswith("<!--", start):
+                end = self._find("-->", start + 4)
+                return start, len(self.html) if end < 0 else end + 3, "", "", ""
+            if self.html.startswith(("<!", "<?"), start):
+                end = self._find(">", start)
+                if end >= 0:
+                    return start, end + 1, "", "", ""
+            tag = _OPEN_TAG.match(self.html, start)
+            if tag is not None and ">" not in self.missing:
+                end = self._tag_end(tag.end())
+                if end >= 0:
+                    return start, end + 1, tag[1], tag[2], self.html[tag.end():end]
+                self.missing.add(">")
+            at = start + 1
+
+
 def parse_html(html: str) -> Node:
     """A forgiving element tree: enough for text, attributes and ancestors."""
     root = Node("#root")
     top, at, n = root, 0, len(html)
+    scanner, unclosed = _Scanner(html), set()
     while at < n:
-        m = _TOKEN.search(html, at)
+        m = scanner.next(at)
         if m is None:
             top.children.append(unescape(html[at:]))
             break
-        if m.start() > at:
-            top.children.append(unescape(html[at:m.start()]))
-        at = m.end()
-        if not m.group(2):
+        start, end, closing, tag, attributes = m
+        if start > at:
+            top.children.append(unescape(html[at:start]))
+        at = end
+        if not tag:
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
+        tag = tag.lower()
+        if closing:
             node = top
             while node is not root and node.tag != tag:
                 node = node.parent
@@ -119,12 +181,14 @@ def parse_html(html: str) -> Node:
             continue
         if tag in ("p", "li", "option") and top.tag == tag:
             top = top.parent
-        node = Node(tag, _attrs(m.group(3)), top)
+        node = Node(tag, _attrs(attributes), top)
         top.children.append(node)
-        if tag in _VOID or m.group(3).endswith("/"):
+        if tag in _VOID or attributes.endswith("/"):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            end = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            if end is None:
+                unclosed.add(tag)
             stop = end.start() if end else n
             raw = html[at:stop]
             node.children.append(unescape(raw) if tag in ("title", "textarea") else raw)
@@ -134,7 +198,7 @@ def parse_html(html: str) -> Node:
     return root
 
 
-def _short(text: str, size: int) -> str:
+def _short(text: str, size: int | None) -> str:
     return _ANY_SPACE.sub(" ", text.strip())[:size]
 
 
@@ -147,14 +211,14 @@ def _field_type(node: Node) -> str:
     return kind if kind in _INPUT_TYPES else "text"
 
 
-def _fields(nodes: list[Node]) -> list[dict]:
+def _fields(nodes: list[Node], limits: Limits) -> list[dict]:
     labels: dict[str, Node] = {}
     for x in nodes:
         if x.tag == "label" and x.attrs.get("for"):
             labels.setdefault(x.attrs["for"], x)
     out = []
-    # the cap counts every field; those without any descriptor are dropped after
-    for x in [x for x in nodes if x.tag in _FIELDS][:fv.MAX_FIELDS]:
+    # a limit counts every field; those without any descriptor are dropped after
+    for x in [x for x in nodes if x.tag in _FIELDS][:limits.fields]:
         a = x.attrs
         label = labels[a["id"]].text_content() if a.get("id") in labels else ""
         up = x.parent
@@ -167,14 +231,14 @@ def _fields(nodes: list[Node]) -> list[dict]:
             "name": a.get("name", ""), "id": a.get("id", ""),
             "placeholder": a.get("placeholder", "") if x.tag != "select" else "",
             "type": _field_type(x), "autocomplete": a.get("autocomplete", "").lower(),
-            "label_text": _short(label, fv.LABEL_CHARS),
+            "label_text": _short(label, limits.label),
         }
         if any(v for k, v in row.items() if k != "type"):
             out.append(row)
     return out
 
 
-def page_features(html: str) -> dict:
+def page_features(html: str, limits: Limits = Limits()) -> dict:
     root = parse_html(html or "")
     nodes = list(root.walk())
     title = next((x.text_content() for x in nodes if x.tag == "title"), "")
@@ -182,10 +246,10 @@ def page_features(html: str) -> dict:
                  if x.tag == "meta" and x.attrs.get("name") == "description"), "")
     body = next((x for x in nodes if x.tag == "body"), root)
     return {
-        "title": _SPACE.sub(" ", title).strip(" ")[:fv.TITLE_CHARS],
-        "meta_description": meta[:fv.META_CHARS],
-        "text": body.visible_text()[:fv.TEXT_CHARS],
-        "fields": _fields(nodes),
+        "title": _SPACE.sub(" ", title).strip(" ")[:limits.title],
+        "meta_description": meta[:limits.meta],
+        "text": body.visible_text()[:limits.text],
+        "fields": _fields(nodes, limits),
     }
 
 
@@ -195,13 +259,13 @@ FEATURE_SCHEMA = (
 )
 
 
-def extract_page_features(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+def extract_page_features(pages: DataFrame, id_col: str = "page_id", limits: Limits = Limits()) -> DataFrame:
     """(id, url, html) -> id, url, title, meta_description, text, fields, is_https."""
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for pdf in batches:
-            rows = [page_features(h) for h in pdf["html"]]
+            rows = [page_features(h, limits) for h in pdf["html"]]
             out = pd.DataFrame(rows, columns=["title", "meta_description", "text", "fields"])
             out.insert(0, "url", pdf["url"].to_numpy())
             out.insert(0, id_col, pdf[id_col].to_numpy())
@@ -227,7 +291,7 @@ def _anchors(node: Node) -> list[dict]:
             for x in node.walk() if x.tag == "a" and "href" in x.attrs]
 
 
-def _layout_one(root: Node) -> dict | None:
+def _layout_one(root: Node, limits: Limits) -> dict | None:
     nodes = list(root.walk())
     head = _first(nodes, lambda x: x.tag == "h2" and _has_class(x, "hP"))
     if head is None:
@@ -240,11 +304,11 @@ def _layout_one(root: Node) -> dict | None:
         "subject": head.text_content().strip(),
         "sender": f"{name} <{mail}>" if mail else name,
         "body": "".join("\n" + b.visible_text() for b in bodies),
-        "anchors": [a for b in bodies for a in _anchors(b)][:fv.MAIL_ANCHORS],
+        "anchors": [a for b in bodies for a in _anchors(b)][:limits.anchors],
     }
 
 
-def _layout_two(root: Node) -> dict | None:
+def _layout_two(root: Node, limits: Limits) -> dict | None:
     main = _first(root.walk(), lambda x: x.tag == "div" and x.attrs.get("role") == "main")
     if main is None:
         return None
@@ -260,7 +324,7 @@ def _layout_two(root: Node) -> dict | None:
         "subject": subject,
         "sender": (who.attrs.get("title") or who.text_content()) if who else "",
         "body": doc.visible_text(),
-        "anchors": _anchors(doc)[:fv.MAIL_ANCHORS],
+        "anchors": _anchors(doc)[:limits.anchors],
     }
 
 
@@ -269,7 +333,7 @@ MAIL_SCHEMA = ("subject string, sender string, body string, "
                "anchors array<struct<href:string,text:string>>")
 
 
-def extract_mail(html_df: DataFrame, id_col: str = "msg_id") -> DataFrame:
+def extract_mail(html_df: DataFrame, id_col: str = "msg_id", limits: Limits = Limits()) -> DataFrame:
     """(id, provider, html) -> one row per open mail; pages without one give no row."""
     id_type = html_df.schema[id_col].dataType.simpleString()
     columns = [id_col, "subject", "sender", "body", "anchors"]
@@ -279,7 +343,7 @@ def extract_mail(html_df: DataFrame, id_col: str = "msg_id") -> DataFrame:
             rows = []
             for key, provider, html in zip(pdf[id_col], pdf["provider"], pdf["html"]):
                 read = LAYOUTS.get(provider)
-                mail = read(parse_html(html or "")) if read else None
+                mail = read(parse_html(html or ""), limits) if read else None
                 if mail:
                     rows.append({id_col: key, **mail})
             yield pd.DataFrame(rows, columns=columns)

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder in that setting; only where it is unset, as
-    in local tests, a temporary folder is used.
+    A cluster names a shared folder in that setting. Where it is unset a temporary
+    folder is used by a local master only: workers of a cluster would each write to
+    a disk of their own, so there the call fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="phishlake-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -15,7 +15,7 @@ from phishlake.plans.message_job import (
 )
 from phishlake.plans.page_job import PageConfig, score_pages
 from phishlake.plans.url_job import score_urls
-from phishlake.sources.html_features import page_features
+from phishlake.sources.html_features import BROWSER_LIMITS, page_features
 from phishlake.sources.lists import (
     Category, Org, Rule, allow_table, block_table, clean_user_lists, load_list, refresh_lists,
     rules_of, validate_lists,
@@ -131,7 +131,10 @@ def test_page_features_of_html():
     assert [(x["id"], x["name"], x["type"], x["label_text"]) for x in f["fields"]] == [
         ("q", "", "text", "Your code"), ("", "s", "select-multiple", "Wrap"), ("", "t", "textarea", "")]
     many = page_features("<input>" * 79 + "<input name=a><input name=b>")
-    assert [x["name"] for x in many["fields"]] == ["a"]
+    assert [x["name"] for x in many["fields"]] == ["a", "b"]
+    cut = page_features("<input>" * 79 + "<input name=a><input name=b><p>" + "x" * 40_000, BROWSER_LIMITS)
+    assert [x["name"] for x in cut["fields"]] == ["a"] and len(cut["text"]) == 30_000
+    page_features('<a "' * 50_000 + "<!--" * 20_000 + "<script>" * 20_000)  # linear, or this never ends
     assert page_features("")["text"] == "" and page_features("<div <<>>")["fields"] == []
 
 
@@ -302,3 +305,20 @@ def test_list_files_with_fall_back_and_refresh(spark, tmp_path):
     new = {"a": spark.createDataFrame([("1",)], "version string"), "b": spark.createDataFrame([("1",)], "version string"),
            "c": spark.createDataFrame([(None,)], "version string")}
     assert refresh_lists(cur, new, str(tmp_path / "out")) == ["a"]
+
+
+def test_messages_with_one_id_keep_their_own_flags(spark, monkeypatch):
+    """Long allow-lists resolve hosts by joins; the verdicts must be those of the row-local way."""
+    rules = [Rule(f"r{i}", 1, match) for i, (match, *_) in enumerate(CASES)]
+    rows = [(i % 3 or None, body, from_hdr, None, None, None) for i, (_, body, from_hdr, _) in enumerate(CASES)]
+    rows += [(1, "hello", "Bank <a@maplebank.test>", None, None, None), (1, "hello", "X <a@evil.test>", None, None, None)] * 2
+    df = spark.createDataFrame(
+        rows, "msg_id int, body string, from_hdr string, reply_to string, subject string, auth_results string")
+
+    def verdicts():
+        out = score_messages(df, lists(spark)[0], ORGS, rules)
+        return sorted((r.msg_id or 0, r.score, r.verdict, sorted(ids(r)), r.sender_domain or "", r.sender_verified)
+                      for r in out.collect())
+    want = verdicts()
+    monkeypatch.setattr("phishlake.plans.message_job.bounded_host_lists", lambda allow: None)
+    assert verdicts() == want

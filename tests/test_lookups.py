@@ -48,18 +48,26 @@ def test_large_list_plan_does_not_broadcast_the_list(spark):
 def test_salted_join_equals_plain_join_when_one_key_is_hot(spark):
     big = spark.range(20_000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50))
     dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = L.hot_keys(big, ["k"], min_rows=3_000)
+    hot = L.hot_keys(big, ["k"], rows_per_salt=1_000)
     assert [r.k for r in hot.collect()] == [0]
     for how in ("left", "inner"):
-        got = L.salted_join(big, dim, ["k"], hot=hot, salts=8, how=how)
+        got = L.salted_join(big, dim, ["k"], hot=hot, how=how)
         assert sorted(got.select("id", "k", "v").collect()) == sorted(big.join(dim, "k", how).select("id", "k", "v").collect())
-    salted = L.salted_join(big, dim, ["k"], hot=hot, salts=8)
+    salted = L.salted_join(big, dim, ["k"], hot=hot)
     assert "_salt" not in salted.columns
 
 
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(1000).withColumn("k", F.col("id") % 100)
-    assert L.hot_keys(df, ["k"], min_rows=1, top=7).count() == 7
+def test_salts_follow_the_row_count(spark):
+    df = spark.range(1000).withColumn("k", F.when(F.col("id") < 600, 1).when(F.col("id") < 800, F.lit(None)).otherwise(F.col("id")))
+    assert [tuple(r) for r in L.hot_keys(df, ["k"], rows_per_salt=100).collect()] == [(1, 6)]
+
+
+def test_null_keys_are_spread_and_match_nothing(spark):
+    big = spark.range(500).withColumn("k", F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id") % 5))
+    dim = spark.createDataFrame([(1, 10), (None, 20)], "k long, v int")
+    got = L.salted_join(big, dim, ["k"])
+    assert got.count() == 500 and got.where("k is null and v is not null").count() == 0
+    assert got.where("v = 10").count() == big.where("k = 1").count()
 
 
 def test_piece_keys_find_every_close_pair(spark):
@@ -129,9 +137,10 @@ def test_asof_expiry_is_strict_and_null_lives_an_hour(spark):
         (None, False), (5, True), (5, True), (None, False), (None, True), (None, True), (None, False)]
 
 
-@pytest.mark.parametrize("bound", [L.BROADCAST_ROWS, 0])
-def test_term_dictionary_join_on_edges(spark, monkeypatch, bound):
-    monkeypatch.setattr(term_join, "BROADCAST_ROWS", bound)
+@pytest.mark.parametrize(("local", "broadcast"), [(L.LOCAL_ROWS, L.BROADCAST_ROWS), (0, L.BROADCAST_ROWS), (0, 0)])
+def test_term_dictionary_join_on_edges(spark, monkeypatch, local, broadcast):
+    monkeypatch.setattr(term_join, "LOCAL_ROWS", local)
+    monkeypatch.setattr(term_join, "BROADCAST_ROWS", broadcast)
     texts = spark.createDataFrame([
         (1, "tax  refund"), (2, "a taxi refund"), (3, "écra"), (4, "GST/HST refund!"), (5, "d’impôt dû"),
         (6, "pay now"), (7, "§ 5")], "id int, text string")
@@ -141,3 +150,14 @@ def test_term_dictionary_join_on_edges(spark, monkeypatch, bound):
     got = {(r.id, r.term) for r in term_join.term_hits(texts, "id", "text", terms).collect()}
     assert got == {(1, "Tax refund"), (1, "tax"), (3, "CRA"), (4, "gst/hst refund"), (5, "d’impôt"),
                    (6, "pay now"), (7, "§")}
+
+
+@pytest.mark.parametrize("local", [L.LOCAL_ROWS, 0])
+def test_term_hits_stay_with_their_row(spark, monkeypatch, local):
+    monkeypatch.setattr(term_join, "LOCAL_ROWS", local)
+    texts = spark.createDataFrame(
+        [(1, "tax é"), (1, "none"), (1, "tax é"), (None, "tax"), (None, "$$$ due"), (2, None), (3, "éé x")], "id int, text string")
+    terms = spark.createDataFrame([("g", "tax"), ("g", "é"), ("g", "$$$")], "group string, term string")
+    got = sorted(((r.id, r.term) for r in term_join.term_hits(texts, "id", "text", terms).collect()), key=repr)
+    want = [(1, "tax"), (1, "é"), (1, "tax"), (1, "é"), (None, "tax"), (None, "$$$"), (3, "é")]
+    assert got == sorted(want, key=repr)
