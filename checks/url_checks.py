@@ -7,7 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from checks import seeds
-from checks.inputs import PAGE_URLS_SQL, URLS_SQL, page_urls, urls
+from checks.inputs import PAGE_URLS_SQL, URLS_SQL, page_urls, table, urls
+from checks.punycode_sql import ascii_label
 from checks.seeds import sql_values
 from phishlake import fixed_values as fv
 from phishlake.functions import hosts as H
@@ -23,6 +24,9 @@ _FOLD_FROM = _WIDE + "".join(fv.LOOKALIKE_LETTERS)
 _FOLD_TO = _NARROW + "".join(fv.LOOKALIKE_LETTERS.values())
 
 
+ASCII_LABEL = ascii_label("x")
+
+
 def fold_sql(x: str) -> str:
     return f"translate(lower({x}), '{_FOLD_FROM}', '{_FOLD_TO}')"
 
@@ -77,9 +81,7 @@ h7 AS (
             (ip // 65536) % 256, '.', (ip // 256) % 256, '.', ip % 256) END
         WHEN regexp_matches(name, '[^\x00-\x7F]') THEN array_to_string(list_transform(
             string_split(name, '.'), lambda x: CASE WHEN regexp_matches(x, '[^\x00-\x7F]')
-                THEN concat('xn--', regexp_replace(x, '[^\x00-\x7F]', '', 'g'),
-                    CASE WHEN regexp_matches(x, '[\x00-\x7F]') THEN '-' ELSE '' END, '0')
-                ELSE x END), '.')
+                THEN {ASCII_LABEL} ELSE x END), '.')
         ELSE name END AS canon
     FROM h6),
 hosted AS (
@@ -260,7 +262,22 @@ _USER_SQL = ("ul AS (SELECT DISTINCT tenant, kind, domain FROM (SELECT tenant, k
              + ") AS t(tenant, kind, entry)) WHERE regexp_matches(domain, '^[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$'))")
 
 
+_WORD = "regexp_extract(text, '[a-z]*[à-öø-ÿ][a-zà-öø-ÿ]*', 0)"
+
+
+def u02_scripts(spark, sf):
+    """Hosts named after words of the documents, most with other letters."""
+    named = table(spark, sf, "documents").select("doc_id", F.concat(
+        F.lit("https://"), F.expr(_WORD), F.lit(".x"), F.col("doc_id") % 7, F.lit(".example/")).alias("url"))
+    df = H.with_canonical_host(named, "url", "canon")
+    return df.select("doc_id", F.coalesce("canon", F.lit("-")).alias("canon"))
+
+
+U02_SCRIPTS_SQL = f"""WITH w AS (SELECT doc_id, {_WORD} AS x FROM documents)
+SELECT doc_id, concat(CASE WHEN x = '' THEN '' ELSE {ASCII_LABEL} END, '.x', doc_id % 7, '.example') AS canon FROM w"""
+
 CHECKS = {
+    "u02_other_scripts": (u02_scripts, U02_SCRIPTS_SQL),
     "u01_host_extraction": (u01, f"""WITH {URLS_SQL}, {host_ctes()}
         SELECT row_id, CAST(is_web AS INTEGER) AS is_web, raw_host, host, path FROM hosted"""),
     "u02_canonical_host": (u02, f"""WITH {URLS_SQL}, {host_ctes()}

@@ -5,10 +5,10 @@ Two hosts are kept per URL: ``raw_host`` as typed, for look-alike checks, and
 steps so that the same code serves a single column (one projection per step)
 and an array of URLs (one ``transform`` per step).
 
-Known gaps, on purpose: labels with other letters get a stand-in encoding (the
-``xn--`` mark, ASCII letters and hyphen count are exact, the encoded digits are
-not), no compatibility folding beyond full-width forms, no dot-segment removal
-in paths, no shortening of IPv6 hosts.
+Labels with other letters get their true ``xn--`` form, so hosts that differ stay
+different and list entries in that form match. Known gaps, on purpose: no
+compatibility folding beyond full-width forms, no dot-segment removal in paths, no
+shortening of IPv6 hosts.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phishlake import fixed_values as fv
+from phishlake.functions.punycode import ascii_label
 from phishlake.functions.settle import settled
 from phishlake.functions.text import ends_with_any
 
@@ -151,9 +152,8 @@ _CANONICAL = r"""CASE
         shiftright({x}.ip, 24) & 255, shiftright({x}.ip, 16) & 255,
         shiftright({x}.ip, 8) & 255, {x}.ip & 255) END
     WHEN {x}.host rlike r'[^\x00-\x7F]' THEN array_join(transform(
-        split({x}.host, r'[.]'), p -> CASE WHEN p rlike r'[^\x00-\x7F]' THEN concat(
-            'xn--', regexp_replace(regexp_replace(p, r'[^\x00-\x7F]', ''), r'(.)$', '$1-'), '0')
-        ELSE p END), '.')
+        split({x}.host, r'[.]'), p -> CASE WHEN p rlike r'[^\x00-\x7F]'
+            THEN """ + ascii_label("p") + r""" ELSE p END), '.')
     ELSE {x}.host END"""
 _STEPS = (_HOST_AND_PORT, _SPLIT_PORT, _FOLD_HOST, _NUMBERS, _DOTTED, _CANONICAL)
 
