@@ -89,31 +89,26 @@ def _take(times: list[int], count: int, expires: int) -> tuple[list[bool], int,
 def rate_limited(calls: DataFrame) -> DataFrame:
     """(key, call_id, ts) stream -> key, call_id, ts, allowed.
 
-    Calls count in arrival order. Each accepted call sets the counter's life to
-    60 seconds again; refused calls do not. That differs from a tumbling window
-    of 60 seconds. State is two numbers per key and rows pass through in Arrow
-    batches, so a busy key never has to fit in memory.
+    Each accepted call sets the counter's life to 60 seconds again; refused calls do
+    not. That differs from a tumbling window of 60 seconds. Calls of one micro-batch
+    count by time, whatever files they came in; a call that arrives in a later batch
+    than younger ones is judged as the counter stands. Every call gets an answer: an
+    event-time timeout would make Spark drop late ones. State is two numbers per key,
+    so it is bounded by the keys issued; one key's calls of one micro-batch (three
+    columns) are sorted in memory, which the trigger's size bounds.
     """
     schema = "key string, call_id long, ts timestamp, allowed boolean"
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         count, expires = state.get if state.exists else (0, 0)
-        newest = 0
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "call_id"])
-            micros = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
-            flags, count, expires = _take(micros, count, expires)
-            newest = max([newest, *micros])
-            yield pdf[["key", "call_id", "ts"]].assign(allowed=flags)
+        pdf = pd.concat([b[["key", "call_id", "ts"]] for b in batches]).sort_values(["ts", "call_id"])
+        micros = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
+        flags, count, expires = _take(micros, count, expires)
         state.update((count, expires))
-        alive = max(expires // 1000, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(alive)
+        yield pdf.assign(allowed=flags)
 
     return calls.groupBy("key").applyInPandasWithState(
-        run, schema, "count long, expires long", "append", GroupStateTimeout.EventTimeTimeout)
+        run, schema, "count long, expires long", "append", GroupStateTimeout.NoTimeout)
 
 
 # --- session overrides --------------------------------------------------------

@@ -45,3 +45,31 @@ def test_state_is_kept_between_batches(spark, tmp_path):
         q.awaitTermination()
     got = [r.allowed for r in spark.read.parquet(str(out)).orderBy("call_id").collect()]
     assert got == brute([c[2] for c in calls])
+
+
+def test_rate_limit_orders_calls_of_interleaved_files(spark, tmp_path):
+    """Files that interleave in time, small Arrow batches: as if calls came one by one."""
+    schema = "key string, call_id long, ts timestamp"
+    calls = [("k" if i % 3 else "j", i, 1_700_000_000 + i * 0.7) for i in range(900)]
+    for part in range(4):
+        spark.createDataFrame(
+            [(k, i, int(t * 1_000_000)) for k, i, t in calls if i % 4 == part], "key string, call_id long, us long"
+        ).select("key", "call_id", F.timestamp_micros("us").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        query = (
+            rate_limited(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            .writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+            .trigger(availableNow=True).start(str(tmp_path / "out"))
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.call_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    state, want = {}, {}
+    for k, i, t in sorted(calls, key=lambda c: c[2]):
+        count, expires = state.get(k, (0, 0))
+        count = 0 if t >= expires else count
+        want[i] = count < 30
+        state[k] = (count + 1, t + 60) if want[i] else (count, expires)
+    assert got == want
