@@ -145,8 +145,17 @@ def _tree(g, h, depth, pace, ridge) -> np.ndarray:
 
 
 def _pair_tree(g, h, pace, ridge) -> np.ndarray:
-    """Tree with one cut of the first feature and one cut of the second below each side."""
-    cut, _ = _best_cut(g.sum(1), h.sum(1), ridge)
+    """Tree with one cut of the first feature and one cut of the second below each side.
+
+    The first cut is the one whose sides gain most from their own cuts: an interaction may
+    show nothing at the first cut alone.
+    """
+    up, down = np.cumsum(g, 0), np.cumsum(h, 0)
+
+    def worth(g_side, h_side) -> float:
+        return _best_cut(g_side, h_side, ridge)[1] + g_side.sum() ** 2 / (h_side.sum() + ridge)
+    gains = [worth(up[i], down[i]) + worth(up[-1] - up[i], down[-1] - down[i]) for i in range(len(g) - 1)]
+    cut = int(np.argmax(gains)) + 1 if gains else 0
     out = np.zeros_like(g)
     for rows in (slice(0, cut), slice(cut, None)) if cut else (slice(None),):
         out[rows] = _tree(g[rows].sum(0), h[rows].sum(0), 1, pace, ridge)

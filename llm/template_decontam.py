@@ -58,7 +58,7 @@ class _Template:
 
     def __init__(self, column: pa.Array):
         self.flat, bounds = text_bytes(column)
-        low = _lower(self.flat)
+        self.low = low = _lower(self.flat)
         self.words = words = Words(low, bounds, PUNCTUATED)
 
         def inside(table_values):
@@ -86,7 +86,7 @@ class _Template:
         out = []
         for i in range(at, at + width):
             if self.kind[i]:
-                value = self.flat[self.words.starts[i]:self.words.ends[i]].tobytes().decode(errors="replace")
+                value = self.low[self.words.starts[i]:self.words.ends[i]].tobytes().decode(errors="replace")
                 out.append(f"{i - at}:{self.kind[i]}:{value}")
         return out
 

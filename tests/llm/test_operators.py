@@ -25,8 +25,12 @@ from llm.substring_dedup import dedup_substrings, repeated_spans
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: Names that operators use inside; the input may have them too.
-CLASH = {c: F.lit(7) for c in ("id", "doc", "twin", "cuts", "hash", "mark", "page", "host", "row", "key", "label", "bin",
-                               "group", "block", "kept", "owner", "url2", "_id", "_text")}
+CLASH = ("id", "doc", "twin", "cuts", "hash", "mark", "page", "host", "row", "key", "label", "bin", "group", "block", "kept",
+         "owner", "_id", "_text")
+
+
+def clashing(frame, names=CLASH):
+    return frame.withColumns({c: F.lit(7) for c in names if c not in frame.columns})
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +56,7 @@ def corpus(spark):
 
 @pytest.fixture(scope="module")
 def docs(spark, corpus):
-    return spark.createDataFrame(corpus, "doc_id long, text string").withColumns(CLASH).repartition(4)
+    return clashing(spark.createDataFrame(corpus, "doc_id long, text string")).repartition(4)
 
 
 def empty(spark, *extra):
@@ -111,7 +115,7 @@ def _jaccard_truth(rows):
 
 def test_jaccard_join(spark, corpus):
     rows = [(i, t) for i, t in corpus if i not in (12, 13)]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumns(CLASH)).collect()
+    got = near_duplicates(clashing(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     want = _jaccard_truth([r for r in rows if r[0] is not None])
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want | {None: (None, 0)}
     assert near_duplicates(empty(spark)).count() == 0
@@ -163,7 +167,7 @@ def test_toxicity(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
     rows += [(None, "vilexa vilexa vilezo"), (900, None), (901, ""), (902, "VILEXA, vilenew! vilezo")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(CLASH)
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
     marks = spark.createDataFrame(labels + [(3, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, marks)
     assert list(model.thresholds) == sorted(model.thresholds)
@@ -208,7 +212,7 @@ def test_gam_learns_an_interaction():
 
 def test_quality_rules(spark, corpus, docs):
     extra = [(200, "x | y\nx | y\n\nx | y " + "# " * 30), (201, "one two three four five six seven eight " * 2 + "q")]
-    both = spark.createDataFrame([*corpus, *extra], "doc_id long, text string").withColumns(CLASH)
+    both = clashing(spark.createDataFrame([*corpus, *extra], "doc_id long, text string"))
     trusted = spark.createDataFrame([(1,), (10,), (None,)], "doc_id long")
     rows = judge(both, trusted).collect()
     want = []
@@ -248,7 +252,7 @@ def test_decontamination(spark):
             (5, twice.replace("5", "8")), (6, twice.replace("5 pens to", "8 pens to")), (7, None), (8, ""),
             (9, "too short"), (10, "a clean text with nothing of the kind in it at all, not even a piece of one"),
             (1, "another row of one id"), (None, item)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(CLASH)
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
     want = {(1, 1, True), (2, 1, False), (3, 2, True), (3, 7, True), (4, 2, True), (4, 7, True), (5, 6, False),
             (None, 1, True)}
     for limit in (1_000_000, 0):
@@ -265,7 +269,7 @@ def test_decontamination(spark):
 def test_warc_round_trip(spark):
     rows = [(1, "http://a.example/x", "<p>é</p>"), (2, "http://b.example/\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""),
             (5, "u", "only"), (6, "u", "<p>é</p>"), (6, "u", "<p>é</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(CLASH)
+    pages = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
     archive = warc_store.write(pages)
     assert spark.read.parquet(archive.payloads).count() == 3
     records = warc_store.read(spark, archive)
@@ -305,8 +309,7 @@ def test_chat_round_trip(spark):
         assert escaped or chunk[begin:end] == (text or "")
     rows = [(1, 0, "user", nasty[0]), (1, 1, "assistant", nasty[0]), (1, 1, "assistant", nasty[0]), (2, None, None, None),
             (2, 5, "assistant", "é中"), (None, 0, "assistant", "x"), (3, 0, "system", "")]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns(
-        {c: F.lit(1) for c in ("key", "chunk", "escaped")})
+    frame = clashing(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), (*CLASH, "chunk", "escaped"))
     got = {r.conv_id: r for r in read_back(format_turns(frame)).collect()}
     for conv in {r[0] for r in rows}:
         turns = [(r or "", t or "") for c, n, r, t in rows if c == conv]
@@ -353,8 +356,7 @@ def test_page_differencing(spark):
             (3, "http://a.example/n/2", page("Menu", "Story two", "Contact")),
             (4, "http://b.example/x", page("Menu", "Alone")), (5, None, None), (6, "bad url", ""),
             (7, "http://a.example/z", "<nav>Menu</nav><article><p>Story two</p></article>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
-        {c: F.lit(7) for c in ("id", "host", "page", "path", "cut", "lines")})
+    pages = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"), (*CLASH, "path", "cut", "lines"))
     got = {r.page_id: r.text for r in main_texts(pages).collect()}
     assert got == {1: "Story one", 2: "Story two", 3: "Story two", 4: "Menu\nAlone", 5: "", 6: "", 7: "Story two"}
     assert main_texts(pages.where("false")).count() == 0
