@@ -112,7 +112,7 @@ def of_column(column: pa.Array) -> Words:
     return Words(*text_bytes(column))
 
 
-def sliced(batch: pa.RecordBatch, text: str, most_bytes: int = 4_000_000):
+def sliced(batch: pa.RecordBatch, text: str, most_bytes: int = 1_500_000):
     """Slices of a batch whose texts together stay near ``most_bytes`` (one text at least)."""
     _, bounds = text_bytes(batch.column(text))
     at = 0
