@@ -16,6 +16,7 @@ from phishlake.functions.text import matched_terms
 from phishlake.operators.asof import asof_ttl_join
 from phishlake.operators.term_join import term_hits
 from phishlake.plans import combine as CB
+from phishlake.plans.events import page_events
 from phishlake.plans import enrich as E
 from phishlake.plans.page_job import (
     PageConfig, category_hits, category_score, category_terms, haystack, score_pages,
@@ -321,6 +322,42 @@ SELECT s.event_id, CAST(CASE WHEN listed THEN 100 WHEN young THEN least(100, s.s
     lambda x: x IS NOT NULL)), ',') AS reasons
 FROM scored s LEFT JOIN en USING (event_id)"""
 
+CLAIMS = _PLAIN[0].name
+
+
+def e06(spark, sf):
+    """Page events end to end, at hours after the first snapshots."""
+    k = F.col("page_id")
+    pages = table(spark, sf, "pages").select(
+        "page_id", "url", F.expr("timestamp'2024-01-03 00:00:00' + make_dt_interval(0, CAST(page_id % 240 AS INT))").alias("ts"),
+        (k % 3 != 0).alias("entitled"), (k % 2 == 0).alias("phish_opt_in"))
+    urls = score_urls(pages, seeds.allow_list(spark), seeds.block_list(spark), _C, keep_flags=True)
+    out = page_events(urls, _scored(spark, sf), "page_id", host_ages(spark, sf), phish_snapshots(spark, sf),
+                      _sens("page_id"), CLAIMS)
+    return out.select("page_id", "combined_score", F.array_join("all_reasons", ",").alias("reasons"),
+                      "adjusted_score", "final_verdict", "action")
+
+
+E06_SQL = f"""WITH {COMBINED_SQL}, {_PH}, {AGES_SQL}, {PHISH_SQL},
+pq AS (SELECT url, fetched_at, valid AS value FROM phish),
+pe AS (SELECT b.page_id, b.page_id AS event_id, b.raw, b.sens, b.combined, list_concat(b.reasons, b.content_reasons) AS why,
+        coalesce(list_contains(b.categories, '{CLAIMS}'), FALSE) OR coalesce(b.institution_name, '') <> '' AS claims,
+        s.url, s.host, TIMESTAMP '2024-01-03 00:00:00' + to_hours(CAST(b.page_id % 240 AS INTEGER)) AS ts
+    FROM both_layers b JOIN scored s ON s.page_id = b.page_id),
+nb AS (SELECT * FROM pe WHERE page_id % 3 <> 0 AND combined >= 30 AND combined < 80),
+{_ASOF.format(out='ag', left='nb', right='ages', key='host', ttl='7 DAY')},
+{_ASOF.format(out='pq1', left='nb', right='pq', key='url', ttl='1 DAY')},
+en AS (SELECT nb.page_id, coalesce(ag.v < 90 AND claims, FALSE) AS young, coalesce(nb.page_id % 2 = 0 AND pq1.v, FALSE) AS listed
+    FROM nb LEFT JOIN ag USING (event_id) LEFT JOIN pq1 USING (event_id)),
+pf AS (SELECT pe.*, CASE WHEN listed THEN 100 WHEN young THEN least(100, combined + 30) ELSE combined END AS total,
+        list_concat(why, list_filter([CASE WHEN young THEN 'young_domain' END, CASE WHEN listed THEN 'confirmed_phish' END],
+        lambda x: x IS NOT NULL)) AS codes FROM pe LEFT JOIN en USING (page_id)),
+pg AS (SELECT *, {_SHIFT.format(s='total', k='sens')} AS shifted FROM pf),
+pd AS (SELECT *, {_floor_sql('shifted', 'raw', 'sens')} AS final_verdict FROM pg)
+SELECT page_id, CAST(total AS INTEGER) AS combined_score, array_to_string(codes, ',') AS reasons,
+    CAST(shifted AS INTEGER) AS adjusted_score, final_verdict, CASE final_verdict WHEN 'high' THEN 'block'
+        WHEN 'medium' THEN 'banner' WHEN 'low' THEN 'badge' ELSE 'none' END AS action FROM pd"""
+
 _DOC_CASE = "lower(text)"
 CHECKS = {
     "s05_page_features": (s05, f"""WITH {FEATURES_SQL}
@@ -365,6 +402,7 @@ CHECKS = {
         FROM done GROUP BY 1"""),
     "b07_failures_are_safe": (b07, """SELECT page_id, CAST(0 AS INTEGER) AS score, 'safe' AS verdict,
         CAST(0 AS INTEGER) AS n_reasons FROM pages"""),
+    "e06_page_event": (e06, E06_SQL),
     "e01_asof_ttl": (e01, f"""WITH {NAV_SQL}, {_NAV_HOST}, {_PH}, {AGES_SQL},
         {_ASOF.format(out='ag', left='nh', right='ages', key='host', ttl='7 DAY')}
         SELECT event_id, CAST(coalesce(v, -1) AS INTEGER) AS age_days,

@@ -42,9 +42,9 @@ def with_final_verdict(df: DataFrame, raw_score: str, raw_verdict: str,
     )
 
 
-def combine(url_verdicts: DataFrame, page_verdicts: DataFrame, key: str,
-            sensitivity: Column, trust_user_list: bool = False) -> DataFrame:
-    """Join both layers on the page key and give the final verdict.
+def combined_layers(url_verdicts: DataFrame, page_verdicts: DataFrame, key: str,
+                    trust_user_list: bool = False) -> DataFrame:
+    """Join both layers on the page key: ``combined_score, all_reasons``.
 
     Verified institutions are dropped: they get no page-level verdict.
     """
@@ -53,5 +53,11 @@ def combine(url_verdicts: DataFrame, page_verdicts: DataFrame, key: str,
     df = wanted.join(page_verdicts.select(
         key, "content_score", "content_reasons", "categories_hit"), key, "left")
     df = df.withColumn("combined_score", combine_scores(F.col("score"), F.col("content_score")))
-    df = df.withColumn("all_reasons", merged_reasons(F.col("reasons"), F.col("content_reasons")))
+    return df.withColumn("all_reasons", merged_reasons(F.col("reasons"), F.col("content_reasons")))
+
+
+def combine(url_verdicts: DataFrame, page_verdicts: DataFrame, key: str,
+            sensitivity: Column, trust_user_list: bool = False) -> DataFrame:
+    """Both layers on the page key with the final verdict, without enrichment."""
+    df = combined_layers(url_verdicts, page_verdicts, key, trust_user_list)
     return with_final_verdict(df, "combined_score", "verdict", sensitivity)
