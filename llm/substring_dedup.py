@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.frames import with_twin
-from llm.words import Words, joined, sliced, spans, text_bytes, whole_spans
+from llm.words import Words, joined, mix, sliced, spans, text_bytes, whole_spans
 
-WIDTH = 5  # bytes of a window's hash that travel; its minimizer's 64 bits come on top
+WIDTH = 8  # bytes of a window's hash that travel: all; its minimizer's 64 bits come on top
 _EDGES = "anchor long, doc long, place long, windows binary, more binary"
 _PATHS = "doc long, twin int, at int, n int, src_doc long, src_at int"
 _MORE = np.dtype([("doc", "<i8"), ("place", "<i8")])
@@ -59,14 +59,17 @@ def _edges_of(batch: pa.RecordBatch, k: int, seed: int) -> pa.RecordBatch | None
     run = np.cumsum(head)[ok] - 1
     size = np.bincount(run, minlength=len(start))
     hashes = spans(words.hash, k)
-    packed = hashes[ok].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].copy()
+    packed = hashes[ok].astype("<u8").view(np.uint8).reshape(-1, WIDTH)
     owner = words.doc_of()[start]
     doc = batch.column("doc").to_numpy()[owner]
     twin = batch.column("twin").to_numpy()[owner].astype(np.int64)
     place = (start - words.first[owner]) | (twin << 32)
     anchor = low[start]
     # equal runs in this slice: the one of the smallest document stays, the rest ride along
-    same = spans(np.stack([anchor, hashes[start], hashes[start + size - 1], size.astype(np.uint64)], 1).ravel(), 4)[::4]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    step = (np.arange(len(run)) - ends[run]).astype(np.uint64)
+    inside = np.add.reduceat(mix(hashes[ok] + mix(step)), ends[:-1])  # all windows: ends alone do not fix a long run
+    same = spans(np.stack([anchor, inside, hashes[start], size.astype(np.uint64)], 1).ravel(), 4)[::4]
     order = np.lexsort((place, doc, same))
     lead = np.concatenate([[True], same[order][1:] != same[order][:-1]])
     heads = order[lead]
@@ -74,7 +77,6 @@ def _edges_of(batch: pa.RecordBatch, k: int, seed: int) -> pa.RecordBatch | None
     more = np.empty(len(riders), _MORE)
     more["doc"], more["place"] = doc[riders], place[riders]
     more_ends = np.concatenate([[0], np.cumsum(np.bincount(host, minlength=len(heads)))]) * _MORE.itemsize
-    ends = np.concatenate([[0], np.cumsum(size)])
     take = np.repeat(ends[heads] - np.concatenate([[0], np.cumsum(size[heads])[:-1]]), size[heads])
     body = packed[take + np.arange(len(take))]
     body_ends = np.concatenate([[0], np.cumsum(size[heads])]) * WIDTH
@@ -154,14 +156,12 @@ def _local_paths(batches):
         docs, places = batch.column("doc").to_numpy(), batch.column("place").to_numpy()
         body, size = _binary(batch.column("windows"))
         size = size // WIDTH
-        full = np.zeros((len(body) // WIDTH, 8), np.uint8)
-        full[:, :WIDTH] = body.reshape(-1, WIDTH)
         row = np.repeat(np.arange(batch.num_rows), size)
         step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         n_held = len(held[0]) if len(held[0]) and held[0][0] == anchors[0] else 0
         held = tuple(x[:n_held] for x in held)
         anchor = np.concatenate([held[0], anchors[row]])
-        window = np.concatenate([held[1], full.view("<u8").ravel()])
+        window = np.concatenate([held[1], body.view("<u8")])
         doc = np.concatenate([held[2], docs[row]])
         place = np.concatenate([held[3], places[row] + step])
         first = _first_of(anchor, window)

@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from llm.ngram_jaccard_join import near_duplicates
 from llm.page_blocks import blocks
 from llm.quality_rules import judge
 from llm.substring_dedup import dedup_substrings, repeated_spans
+from llm.words import of_column, spans
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -360,3 +362,38 @@ def test_page_differencing(spark):
     got = {r.page_id: r.text for r in main_texts(pages).collect()}
     assert got == {1: "Story one", 2: "Story two", 3: "Story two", 4: "Menu\nAlone", 5: "", 6: "", 7: "Story two"}
     assert main_texts(pages.where("false")).count() == 0
+
+
+def _substring_truth(rows):
+    first, want = {}, []
+    for i, text in rows:
+        w = WORD.findall(text)
+        for k in range(len(w) - 12):
+            first[tuple(w[k:k + 13])] = min(i, first.get(tuple(w[k:k + 13]), i))
+    for i, text in rows:
+        w = WORD.findall(text)
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k:k + 13])] < i for j in range(k, k + 13)}
+        want.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return want
+
+
+def _smallest_phrase(seed=4):
+    """A phrase whose hash is the minimum in nearly every window."""
+    words = of_column(pa.array([" ".join(f"s{i}" for i in range(20_000))]))
+    at = int(spans(words.hash, seed).argmin())
+    return " ".join(f"s{i}" for i in range(at, at + seed))
+
+
+def test_windows_are_equal_by_their_whole_hash(spark):
+    """The first two windows share a minimizer and 40 bits of their hash, but not the last word."""
+    start = "the quiet harbour town keeps its old lamps burning through every storm"
+    s = _smallest_phrase()
+
+    def periodic(word):  # one minimizer, equal ends, another middle
+        return f"{s} a1 a2 a3 a4 a5 a6 {s} b1 b2 {word} b4 b5 b6 {s} c1 c2 c3 c4 c5 c6 {s} d1 d2 d3 d4 d5 d6 {s}"
+    rows = [(1, f"{start} v1426229"), (2, f"{start} v633436"), (3, f"{start} v925128"), (4, f"{start} v2798425"),
+            (5, periodic("b3")), (6, periodic("other"))]
+    want = _substring_truth(rows)
+    assert [r[2] for r in want[:5]] == [0] * 5 and 0 < want[5][2] < want[5][1]
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(tuple(r) for r in got) == want
