@@ -2,7 +2,9 @@
 
 Windows of ``k`` words are the edges of a De Bruijn graph over word (k-1)-mers. Edges are dealt
 out by their minimizer (the smallest-hash run of ``seed`` words inside), so equal edges meet in
-one place and consecutive edges of a document that share a minimizer travel as one row. There,
+one place and consecutive edges of a document that share a minimizer travel as one row. A minimizer
+under which more than ``HOT_WINDOWS`` different windows may meet is split by the windows' own hash,
+so equal edges still meet but no minimizer is one task. There,
 edges that an earlier document also has are compacted into local paths that advance in step with
 their source coordinates; a Spark window over each document glues local paths into maximal
 repeated spans, and a join on the document applies them to the text.
@@ -26,6 +28,8 @@ from llm.frames import with_twin
 from llm.words import Words, joined, mix, sliced, spans, text_bytes, whole_spans
 
 WIDTH = 8  # bytes of a window's hash that travel: all; its minimizer's 64 bits come on top
+SLICE = 600_000  # bytes of text that are windowed at once, about
+HOT_WINDOWS = 250_000  # windows that one anchor holds, about; more are split by their hash
 _EDGES = "anchor long, doc long, place long, windows binary, more binary"
 _PATHS = "doc long, twin int, at int, n int, src_doc long, src_at int"
 _MORE = np.dtype([("doc", "<i8"), ("place", "<i8")])
@@ -41,8 +45,52 @@ def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def _edges_of(batch: pa.RecordBatch, k: int, seed: int) -> pa.RecordBatch | None:
-    """Runs of windows with one minimizer; equal runs of a slice become one row."""
+def _anchor_bins(texts: DataFrame, k: int, seed: int, bins: int) -> DataFrame:
+    """(bin, n): windows per bin of anchors, those that a slice holds more than once counted once."""
+    def run(batches):
+        total = np.zeros(bins, np.int64)
+        for batch in batches:
+            for part in sliced(batch, "text", SLICE):
+                words = Words(*text_bytes(part.column("text")))
+                if len(words) < k:
+                    continue
+                ok = whole_spans(words, k)[:len(words) - k + 1]
+                _, one = np.unique(spans(words.hash, k)[ok], return_index=True)
+                low = _slide_min(spans(words.hash, seed), k - seed + 1)[ok][one]
+                total += np.bincount((low % np.uint64(bins)).astype(np.int64), minlength=bins)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
+    return texts.select("text").mapInArrow(run, "bin long, n long")
+
+
+def hot_anchors(docs: DataFrame, k: int, seed: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(bins, hot bins in order, parts of each): bins of anchors with over ``HOT_WINDOWS`` windows.
+
+    The bins grow with the rows, so that only frequent anchors lift one over the limit; there is
+    at most one hot bin per ``HOT_WINDOWS`` windows.
+    """
+    known = docs.where("doc is not null")
+    bins = 1 << max(16, (known.count() // 64).bit_length())
+    hot = _anchor_bins(known, k, seed, bins).groupBy("bin").agg(F.sum("n").alias("n")).where(
+        F.col("n") > HOT_WINDOWS).orderBy("bin").collect()
+    return bins, np.array([r.bin for r in hot], np.int64), np.array([-(-r.n // HOT_WINDOWS) for r in hot], np.uint64)
+
+
+def _split(low: np.ndarray, hashes: np.ndarray, hot) -> np.ndarray:
+    """Anchors, those of hot bins spread over the bin's parts by the hash of the window."""
+    if hot is None or not len(hot[1]):
+        return low
+    bins, known, parts = hot
+    here = (low % np.uint64(bins)).astype(np.int64)
+    near = np.minimum(np.searchsorted(known, here), len(known) - 1)
+    at = np.flatnonzero(known[near] == here)
+    low = low.copy()
+    low[at] = mix(low[at] ^ mix(hashes[at] % parts[near[at]] + np.uint64(1)))
+    return low
+
+
+def _edges_of(batch: pa.RecordBatch, k: int, seed: int, hot=None) -> pa.RecordBatch | None:
+    """Runs of windows with one anchor; equal runs of a slice become one row."""
     batch = batch.filter(batch.column("doc").is_valid())
     if not batch.num_rows:
         return None
@@ -50,7 +98,8 @@ def _edges_of(batch: pa.RecordBatch, k: int, seed: int) -> pa.RecordBatch | None
     if len(words) < k:
         return None
     ok = whole_spans(words, k)[:len(words) - k + 1]
-    low = _slide_min(spans(words.hash, seed), k - seed + 1)
+    hashes = spans(words.hash, k)
+    low = _split(_slide_min(spans(words.hash, seed), k - seed + 1), hashes, hot)
     head = ok.copy()
     head[1:] &= ~ok[:-1] | (low[1:] != low[:-1])
     start = np.flatnonzero(head)
@@ -58,13 +107,13 @@ def _edges_of(batch: pa.RecordBatch, k: int, seed: int) -> pa.RecordBatch | None
         return None
     run = np.cumsum(head)[ok] - 1
     size = np.bincount(run, minlength=len(start))
-    hashes = spans(words.hash, k)
     packed = hashes[ok].astype("<u8").view(np.uint8).reshape(-1, WIDTH)
     owner = words.doc_of()[start]
     doc = batch.column("doc").to_numpy()[owner]
     twin = batch.column("twin").to_numpy()[owner].astype(np.int64)
     place = (start - words.first[owner]) | (twin << 32)
     anchor = low[start]
+    del words, low, head
     # equal runs in this slice: the one of the smallest document stays, the rest ride along
     ends = np.concatenate([[0], np.cumsum(size)])
     step = (np.arange(len(run)) - ends[run]).astype(np.uint64)
@@ -92,10 +141,13 @@ def _edges_of(batch: pa.RecordBatch, k: int, seed: int) -> pa.RecordBatch | None
 
 def edges(docs: DataFrame, k: int, seed: int) -> DataFrame:
     """(anchor, doc, place, windows, more) of columns doc, twin, text."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, k, seed))
+
     def run(batches):
+        hot = shared.value
         for batch in batches:
-            for part in sliced(batch, "text"):
-                out = _edges_of(part, k, seed)
+            for part in sliced(batch, "text", SLICE):
+                out = _edges_of(part, k, seed, hot)
                 if out is not None:
                     yield out
     return docs.select("doc", "twin", "text").mapInArrow(run, _EDGES)

@@ -21,7 +21,7 @@ from llm.html_extraction import common_lines, main_texts
 from llm.ngram_jaccard_join import near_duplicates
 from llm.page_blocks import blocks
 from llm.quality_rules import judge
-from llm.substring_dedup import dedup_substrings, repeated_spans
+from llm.substring_dedup import dedup_substrings, edges, repeated_spans
 from llm.words import of_column, spans
 
 SF = "/root/testdata/sf0.001"
@@ -397,3 +397,23 @@ def test_windows_are_equal_by_their_whole_hash(spark):
     assert [r[2] for r in want[:5]] == [0] * 5 and 0 < want[5][2] < want[5][1]
     got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_hot_minimizer_is_split(spark, monkeypatch):
+    """One frequent phrase in differing contexts is not one group, and the result stays the same."""
+    monkeypatch.setattr("llm.substring_dedup.HOT_WINDOWS", 200)
+    random.seed(8)
+    s = _smallest_phrase()
+
+    def some(n):
+        return " ".join(f"t{random.randrange(5000)}" for _ in range(n))
+    rows = [(i, f"{some(14)} {s} {some(14)}") for i in range(300)]
+    rows += [(1000 + i, f"{some(3)} {rows[i * 7][1]} {some(4)}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dedup_substrings(frame).collect()
+    want = _substring_truth(rows)
+    assert sum(r[2] > 0 for r in want) == 40
+    assert sorted(tuple(r) for r in got) == want
+    named = frame.select(F.col("doc_id").alias("doc"), F.lit(0).alias("twin"), "text")
+    held = edges(named, 13, 4).groupBy("anchor").agg(F.sum(F.octet_length("windows") / 8).alias("n"))
+    assert held.agg(F.max("n")).first()[0] < 600  # of over 3,000
