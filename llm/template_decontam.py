@@ -2,16 +2,18 @@
 
 Tokens are runs of letters and digits in lower case; numbers, capitalised names inside sentences
 and unit words become typed placeholders. Windows of ``width`` template tokens of the documents
-are hash-joined with those of the benchmark items; windows on one diagonal of a document and an
-item are then checked slot by slot: one benchmark value must map to one document value of the
-same type, so a re-parameterised question matches and a chance mixture does not.
+are hash-joined with those of the benchmark items; each run of windows on one diagonal of a
+document and an item is then checked slot by slot: one benchmark value must map to one document
+value of the same type, so a re-parameterised question matches and a chance mixture does not.
+Windows with placeholders are joined by their words as they are too (case folded), so a verbatim
+passage matches whatever its case makes of its names and however many numbers it holds.
 
 The benchmark's window hashes are sent to the tasks as a filter while there are at most
 ``filter_windows`` of them; beyond that the same windows meet in a shuffle join.
 
 Defined cases: null texts have no windows; items shorter than ``width`` are one window of their
-own length, items shorter than ``least`` tokens are no evidence; a window needs literal words in
-at least half its places; equal items all match; rows of one id with different texts are judged
+own length, items shorter than ``least`` tokens are no evidence; a template window needs literal
+words in at least half its places; equal items all match; rows of one id with different texts are judged
 apart; a null document id is a value like others in the filter and absent from the report. Case is folded for ASCII and Latin-1 letters.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from llm.words import PUNCTUATED, Words, sliced, spans, text_bytes, whole_spans
@@ -95,33 +98,38 @@ _WINDOWS = "hash long, width int, owner long, mark long, at int, slots array<str
 
 
 def _windows(column, owner, mark, widths, wanted: np.ndarray | None, own_width: bool, least: int, most: int):
-    """Windows of every text as a batch; ``own_width`` gives texts below ``most`` one window."""
+    """Windows of every text as a batch; ``own_width`` gives texts below ``most`` one window.
+
+    A window with placeholders comes twice: as template, and verbatim without slots.
+    """
     template = _Template(column)
     counts = template.words.counts
     of = template.words.doc_of()
     literal = np.concatenate([[0], np.cumsum(template.kind == 0)])
     parts = []
     for width in widths:
-        h = spans(template.hash, width, salt=width)
-        ok = whole_spans(template.words, width)[:len(h)]
+        fit = whole_spans(template.words, width)[:max(len(template.words) - width + 1, 0)]
         if own_width:
-            ok &= (counts[of[:len(h)]] == width) if width < most else True
-            ok &= counts[of[:len(h)]] >= least
-        ok &= 2 * (literal[width:][:len(h)] - literal[:len(h)]) >= width
-        if wanted is not None and len(h):
-            ok &= wanted[1][(h >> np.uint64(44)).astype(np.int64)]
-            at = np.flatnonzero(ok)
-            near = np.minimum(np.searchsorted(wanted[0], h[at]), len(wanted[0]) - 1)
-            at = at[wanted[0][near] == h[at]]
-        else:
-            at = np.flatnonzero(ok)
-        slotted = literal[at + width] - literal[at] < width
-        slots = [template.slots(i, width) if s else [] for i, s in zip(at.tolist(), slotted.tolist(), strict=True)]
-        parts.append(pa.RecordBatch.from_arrays([
-            pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), width, np.int32)), owner.take(pa.array(of[at])),
-            mark.take(pa.array(of[at])), pa.array((at - template.words.first[of[at]]).astype(np.int32)),
-            pa.array(slots, pa.list_(pa.string())), pa.array(counts[of[at]].astype(np.int32))],
-            ["hash", "width", "owner", "mark", "at", "slots", "tokens"]))
+            fit &= (counts[of[:len(fit)]] == width) if width < most else True
+            fit &= counts[of[:len(fit)]] >= least
+        words_in = literal[width:][:len(fit)] - literal[:len(fit)]
+        for hashes, usable, verbatim in ((template.hash, 2 * words_in >= width, False),
+                                         (template.words.hash, words_in < width, True)):
+            h, ok = spans(hashes, width, salt=width), fit & usable
+            if wanted is not None and len(h):
+                ok &= wanted[1][(h >> np.uint64(44)).astype(np.int64)]
+                at = np.flatnonzero(ok)
+                near = np.minimum(np.searchsorted(wanted[0], h[at]), len(wanted[0]) - 1)
+                at = at[wanted[0][near] == h[at]]
+            else:
+                at = np.flatnonzero(ok)
+            slotted = (words_in[at] < width) & (not verbatim)
+            slots = [template.slots(i, width) if s else [] for i, s in zip(at.tolist(), slotted.tolist(), strict=True)]
+            parts.append(pa.RecordBatch.from_arrays([
+                pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), width, np.int32)), owner.take(pa.array(of[at])),
+                mark.take(pa.array(of[at])), pa.array((at - template.words.first[of[at]]).astype(np.int32)),
+                pa.array(slots, pa.list_(pa.string())), pa.array(counts[of[at]].astype(np.int32))],
+                ["hash", "width", "owner", "mark", "at", "slots", "tokens"]))
     return parts
 
 
@@ -170,12 +178,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     lined = (
         found.drop("tokens").join(index, ["hash", "width"])
         .withColumn("pairs", pairs).withColumn("diagonal", F.col("at") - F.col("item_at"))
-        .groupBy("owner", "mark", "item", "diagonal")
-        .agg(F.count("*").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    )
+    # a window without a match ends a run; a window that matches both ways counts once
+    line = W.partitionBy("owner", "mark", "item", "diagonal").orderBy("at")
+    runs = (
+        lined.withColumn("before", F.lag("at").over(line))
+        .withColumn("run", F.sum(F.when(F.col("at") - F.col("before") <= 1, 0).otherwise(1)).over(line))
+        .groupBy("owner", "mark", "item", "diagonal", "run")
+        .agg(F.size(F.collect_set("at")).cast("long").alias("n_windows"),
+             F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     )
     sources = F.size(F.array_distinct(F.expr("transform(pairs, p -> struct(p.was, p.type))")))
     return (
-        lined.where(sources == F.size("pairs"))
+        runs.where(sources == F.size("pairs"))
         .groupBy("owner", "mark", "item")
         .agg(F.sum("n_windows").alias("n_windows"), F.max(F.expr("forall(pairs, p -> p.was = p.now)")).alias("exact"))
         .withColumnRenamed("owner", key).withColumnRenamed("item", item)

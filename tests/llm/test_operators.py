@@ -417,3 +417,21 @@ def test_hot_minimizer_is_split(spark, monkeypatch):
     named = frame.select(F.col("doc_id").alias("doc"), F.lit(0).alias("twin"), "text")
     held = edges(named, 13, 4).groupBy("anchor").agg(F.sum(F.octet_length("windows") / 8).alias("n"))
     assert held.agg(F.max("n")).first()[0] < 600  # of over 3,000
+
+
+def test_decontamination_finds_verbatim_passages(spark):
+    """Lower-cased names, mostly numbers, and a run spoilt only beyond a gap."""
+    named = "yesterday the old ferry from Lyon carried Maria and Pierre across the wide river before the heavy evening storm began"
+    numbers = "add 1 2 3 4 5 6 7 8 9 10 11 12 now"
+    gap = ("Start with 5 red balls and give every child in the big yellow house one small ball today while "
+           "all others wait outside near 5 green doors until 5 friendly dogs come running down the long dusty road home")
+    items = spark.createDataFrame([(1, named), (2, numbers), (3, gap)], "item_id long, text string")
+    spoilt = gap.replace("while", "whereas").replace("5 friendly", "9 friendly")
+    rows = [(1, named.lower()), (2, f"so {numbers} then"), (3, spoilt), (4, named.replace("Maria", "Anna").replace("Pierre", "Anna")),
+            (5, named)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = len(named.split()) - 11
+    for limit in (1_000_000, 0):
+        got = {(r.doc_id, r.item_id): r for r in template_decontam.contaminated(frame, items, filter_windows=limit).collect()}
+        assert {(1, 1), (2, 2), (3, 3), (5, 1)} <= set(got)
+        assert got[1, 1].exact and got[5, 1].exact and got[1, 1].n_windows == got[5, 1].n_windows == whole
