@@ -435,3 +435,16 @@ def test_decontamination_finds_verbatim_passages(spark):
         got = {(r.doc_id, r.item_id): r for r in template_decontam.contaminated(frame, items, filter_windows=limit).collect()}
         assert {(1, 1), (2, 2), (3, 3), (5, 1)} <= set(got)
         assert got[1, 1].exact and got[5, 1].exact and got[1, 1].n_windows == got[5, 1].n_windows == whole
+
+
+def test_blocks_keep_articles_of_common_markup():
+    page = """<html class="no-social"><body class="home has-sidebar cookie-notice-shown" style="visibility:hidden">
+    <div class="site-footer">Foot</div><div class="widget_text">Widget</div><div id="ad1">Buy</div>
+    <main class="related widget"><article class="post category-social notice" id="comments-on-trade">
+    <h1 title="The hidden valley">Head</h1><p data-hidden="false">First</p><div class="with-comments">Second</div>
+    <p title='a class="ad" here'>Third</p><p hidden>Gone</p><p HIDDEN="">Gone</p><p aria-hidden=true>Gone</p>
+    <article class="comment depth-1"><p>Nice!</p></article></article></main></body></html>"""
+    assert [t for t, kind in blocks(page) if kind == 2] == ["Head", "First", "Second", "Third"]
+    assert [t for t, kind in blocks(page) if kind == 0] == ["Foot", "Widget", "Buy", "Gone", "Gone", "Gone", "Nice!"]
+    plain = blocks('<body class="sidebar"><div class="has-widget">One</div><div class="no-share">Two</div></body>')
+    assert plain == [("One", 1), ("Two", 1)]
