@@ -1,10 +1,11 @@
-"""N-gram Jaccard self-join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard self-join: MinHash banding at a fixed depth, then exact verification.
 
-Every distinct text gets a similarity sketch; the sketch feeds ``trees`` prefix tries of depth
-``depth``. The matched prefix is shortened level by level until a pair at the threshold shares a
-node in some tree with at least the target recall. Rows of a node are tied to its smallest id
+Every distinct text gets a similarity sketch of ``trees`` bands of ``depth`` values. One prefix
+length serves all bands: the longest with which a pair at the threshold shares a band's prefix
+with at least the target recall. This replaces the descent of an LSH forest, whose prefix would
+adapt to each node. Rows of a node are tied to its smallest id
 (never pair by pair), ties are closed to candidate groups, and every pair of texts inside a group
-is compared exactly on shingle sets, in blocks of bounded size whose pairs never become rows:
+is compared exactly on shingle sets, in blocks bounded in shingles and in texts whose pairs never become rows:
 blocks return link counts and a spanning forest of the verified links.
 
 Defined cases: words are runs of non-blank characters, unchanged; a text of one to ``n - 1``
@@ -26,6 +27,7 @@ from llm.words import mix, of_column, sliced, spans
 
 SKETCH_SEED = 0x5DEECE66D
 BLOCK_SHINGLES = 200_000  # shingles that one side of a block holds, about
+BLOCK_TEXTS = 1_500  # texts of one side, about; matrices over the texts of two sides are dense
 
 
 def shingles(words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +219,12 @@ def candidate_groups(reps: DataFrame, trees: int, depth: int, matched: int) -> D
     return components(ties).withColumnRenamed("root", "group")
 
 
+def block_counts(members: DataFrame) -> DataFrame:
+    """(group, blocks) of columns group, size: as many blocks as shingles or texts ask for."""
+    return members.groupBy("group").agg(F.greatest(
+        F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("blocks"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
                     threshold: float = 0.8, trees: int = 32, depth: int = 8,
                     recall: float = 0.9999) -> DataFrame:
@@ -238,8 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     groups = candidate_groups(reps, trees, depth, match_depth(threshold, trees, depth, recall))
     groups = materialised(groups.join(first, "id"), "groups")
     sizes = marks.groupBy("id").agg(F.max("size").alias("size"))
-    spread = groups.join(sizes, "id").groupBy("group").agg(
-        F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    spread = block_counts(groups.join(sizes, "id"))
     members = groups.join(spread, "group").select("id", "group", "copies", "blocks")
     texts = named.join(members, "id").mapInArrow(
         _packed_shingles(n), "id long, group long, copies long, blocks int, shingles binary")

@@ -18,7 +18,7 @@ from llm import quality_gam, template_decontam, toxicity, warc_store
 from llm.byte_bpe import Vocabulary, tokenize
 from llm.chat_format import END, START, format_turns, parse, read_back, render
 from llm.html_extraction import common_lines, main_texts
-from llm.ngram_jaccard_join import near_duplicates
+from llm.ngram_jaccard_join import block_counts, near_duplicates
 from llm.page_blocks import blocks
 from llm.quality_rules import judge
 from llm.substring_dedup import dedup_substrings, edges, repeated_spans
@@ -448,3 +448,15 @@ def test_blocks_keep_articles_of_common_markup():
     assert [t for t, kind in blocks(page) if kind == 0] == ["Foot", "Widget", "Buy", "Gone", "Gone", "Gone", "Nice!"]
     plain = blocks('<body class="sidebar"><div class="has-widget">One</div><div class="no-share">Two</div></body>')
     assert plain == [("One", 1), ("Two", 1)]
+
+
+def test_jaccard_blocks_are_bounded_in_texts(spark, monkeypatch):
+    """Many short texts are few shingles, but the matrices of a block grow with its texts."""
+    members = spark.range(15_000).select(F.lit(1).alias("group"), F.lit(26).alias("size")).unionByName(
+        spark.createDataFrame([(2, 900_000), (2, 50), (3, 1), (3, 1)], "group int, size int"))
+    assert {r.group: r.blocks for r in block_counts(members).collect()} == {1: 10, 2: 5, 3: 1}
+    monkeypatch.setattr("llm.ngram_jaccard_join.BLOCK_TEXTS", 6)
+    base = [f"b{i}" for i in range(30)]
+    rows = [(i, " ".join([*base, f"c{i}"])) for i in range(40)] + [(50, " ".join(base[:12]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == _jaccard_truth(rows)
