@@ -5,9 +5,10 @@ trusted target texts and one of the whole corpus, give every bin a log ratio; a
 mean over its n-grams. A text is kept if the base rules hold and its mean ratio reaches a fixed
 threshold: the same text and counts always give the same verdict.
 
-The corpus is counted in one pass over all texts (map-side sums over at most ``buckets`` keys); the
-target is fitted on at most ``trusted_rows`` trusted ids, those with the smallest hash, which bounds
-the one table that is broadcast. The log ratios are
+Corpus and target are counted in one pass over all texts (map-side sums over at most ``buckets``
+keys). Every trusted text counts: whole ids are told by bitmaps, broadcast while there are at most
+``bitmaps`` of 4 KB (each holds 32,768 neighbouring ids); with more, or other ids, texts meet the
+trusted ids in a shuffle join, to the same counts. The log ratios are
 one array of ``buckets`` doubles, bounded whatever the corpus, that enters the scoring scan as a
 scalar subquery.
 
@@ -78,17 +79,31 @@ def _hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
+def _marked(docs: DataFrame, trusted: DataFrame, key: str, text: str, bitmaps: int) -> DataFrame:
+    """(_text, _good): every text, ``_good`` 1 for trusted ids and null for others."""
+    known = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"))
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    bucket = F.bitmap_bucket_number("_id").alias("_bucket")
+    whole = all(f.schema["_id"].dataType.simpleString() in ("int", "bigint") for f in (known, texts))
+    if not whole or known.select(bucket).distinct().limit(bitmaps + 1).count() > bitmaps:
+        good = known.distinct().withColumn("_good", F.lit(1))
+        return texts.join(good, "_id", "left").select("_text", "_good")
+    bits = known.groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("_bits"))
+    hit = F.expr(
+        "shiftright(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_at % 8 as int)) & 1 = 1")
+    return (
+        texts.withColumns({"_bucket": F.bitmap_bucket_number("_id"), "_at": F.bitmap_bit_position("_id")})
+        .join(F.broadcast(bits), "_bucket", "left").select("_text", F.when(hit, 1).alias("_good"))
+    )
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int, prior: float,
-               trusted_rows: int) -> DataFrame:
+               bitmaps: int) -> DataFrame:
     """One row, one array: log of target over corpus probability for every bin.
 
     The target is smoothed with ``prior`` pseudo-counts per seen corpus bin in corpus proportions.
     """
-    good = (
-        trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.lit(1).alias("_good")).distinct()
-        .orderBy(F.xxhash64("_id"), "_id").limit(trusted_rows)
-    )
-    marked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(good), "_id", "left")
+    marked = _marked(docs, trusted, key, text, bitmaps)
     counts = (
         marked.select("_good", F.explode(let(_hashes(F.col("_text")), lambda h: grams_of(h, buckets))).alias("bin"))
         .groupBy("bin").agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
@@ -111,9 +126,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets
 
 def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 1 << 16,
           prior: float = 1.0, threshold: float = -0.2, least_words: int = 20, most_repeated: int = 30,
-          trusted_rows: int = 50_000) -> DataFrame:
+          bitmaps: int = 10_000) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, kept)."""
-    ratios = log_ratios(docs, trusted, key, text, buckets, prior, trusted_rows).scalar()
+    ratios = log_ratios(docs, trusted, key, text, buckets, prior, bitmaps).scalar()
     body = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
 

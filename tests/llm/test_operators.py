@@ -460,3 +460,17 @@ def test_jaccard_blocks_are_bounded_in_texts(spark, monkeypatch):
     rows = [(i, " ".join([*base, f"c{i}"])) for i in range(40)] + [(50, " ".join(base[:12]))]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == _jaccard_truth(rows)
+
+
+def test_all_trusted_texts_count(spark):
+    """With every text trusted, target and corpus are the same, however many there are."""
+    many = spark.range(51_000).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.concat(F.lit("x"), F.col("id"))).alias("text"))
+    assert judge(many, many).agg(F.max(F.abs("ratio"))).first()[0] < 1e-9
+    ids = [-70_000, -32_768, -9, -1, 0, 1, 8, 9, 32_767, 32_768, 32_769, 2**40, None]
+    rows = spark.createDataFrame([(i, f"w{n % 5} v{n % 3} u{n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    some = rows.where("doc_id in (-32768, -1, 1, 9, 32768, 1099511627776)").select("doc_id")
+    got = [sorted(map(tuple, judge(rows, some.unionByName(some), bitmaps=most).collect()), key=repr) for most in (10_000, 0)]
+    assert got[0] == got[1]
+    ratio = {r[0]: r[7] for r in got[0]}
+    assert min(ratio[i] for i in (-1, 1, 9, 2**40)) > 0 > ratio[8]
