@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from llm import twins, warc_store
+from llm import token_alignment, token_archive, twins, warc_store
 from llm.byte_bpe import tokenize
 from llm.chat_format import format_turns, read_back
 from llm.frames import table
@@ -20,6 +20,8 @@ from llm.toxicity import fit as fit_toxicity
 from llm.toxicity import score as score_toxicity
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+BYTE_BPE, PIECE_BPE, WORD_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"
+PIECES, END_ID = 32_000, 1
 
 
 def op1_html_extraction(spark, sf_dir):
@@ -79,9 +81,25 @@ def op10_quality_classifier(spark, sf_dir):
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark, sf_dir):
+    rows = token_alignment.align(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    rows = token_alignment.stored(rows.withColumn("groups_sha256", digest).drop("groups"))
+    return token_alignment.link_scores(rows, PIECES)
+
+
+def op13_token_archive(spark, sf_dir):
+    archive = token_archive.write(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID, split_at_space=True)
+    return token_archive.read(spark, archive).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_warc, op3_chat_format, op4_ngram_jaccard_join, op5_template_decontamination, op6_substring_dedup,
-    op7_quality_rules, op8_byte_bpe, op9_toxicity, op10_quality_classifier)}
+    op7_quality_rules, op8_byte_bpe, op9_toxicity, op10_quality_classifier, op11_token_alignment,
+    op13_token_archive)}
 SQL = {
     "op2_warc": twins.WARC, "op3_chat_format": twins.CHAT, "op4_ngram_jaccard_join": twins.JACCARD,
     "op6_substring_dedup": twins.SUBSTRINGS}
