@@ -9,6 +9,7 @@ from llm import token_alignment, token_archive, twins, warc_store
 from llm.byte_bpe import tokenize
 from llm.chat_format import format_turns, read_back
 from llm.frames import table
+from llm.hard_negatives import mine, whole_vectors
 from llm.html_extraction import main_texts
 from llm.ngram_jaccard_join import near_duplicates
 from llm.quality_gam import fit as fit_quality
@@ -89,6 +90,12 @@ def op11_token_alignment(spark, sf_dir):
     return token_alignment.link_scores(rows, PIECES)
 
 
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = whole_vectors(table(spark, sf_dir, "embeddings"), relabel=moved)
+    return mine(rows, rows.where("id % 50 = 0"))
+
+
 def op13_token_archive(spark, sf_dir):
     archive = token_archive.write(
         table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID, split_at_space=True)
@@ -99,7 +106,7 @@ def op13_token_archive(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_warc, op3_chat_format, op4_ngram_jaccard_join, op5_template_decontamination, op6_substring_dedup,
     op7_quality_rules, op8_byte_bpe, op9_toxicity, op10_quality_classifier, op11_token_alignment,
-    op13_token_archive)}
+    op12_hard_negatives, op13_token_archive)}
 SQL = {
     "op2_warc": twins.WARC, "op3_chat_format": twins.CHAT, "op4_ngram_jaccard_join": twins.JACCARD,
-    "op6_substring_dedup": twins.SUBSTRINGS}
+    "op6_substring_dedup": twins.SUBSTRINGS, "op12_hard_negatives": twins.NEGATIVES}
