@@ -2,13 +2,17 @@
 
 Most chunks of a corpus are seen again and again. A chunk is a stretch of text between places
 where the tokenizer never joins what stands on both sides, so the ids of a text are those of
-its chunks in order.
+its chunks in order. Chunks of a batch are made distinct by Arrow, distinct ones are looked up in
+a dictionary, and ids are dealt back to all places at once.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 
 #: Rough bytes of an entry besides its text and value: two objects and a place in the table.
 ENTRY_BYTES = 250
@@ -25,28 +29,48 @@ def one_thread_each() -> None:
 class ChunkCache:
     """Values of chunks in two generations, so that chunks in use survive; each holds ``most_bytes``."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most_bytes: int = 64 << 20):
+    def __init__(self, encode: Callable[[list[str]], list], most_bytes: int = 64 << 20):
         self.encode, self.most_bytes = encode, most_bytes
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.size = 0
 
-    def look(self, chunks: list[list[str]]) -> list[list]:
-        """The value of every chunk, list by list."""
-        every = set().union(*chunks)
-        fresh = every.difference(self.young)
-        if self.size + sum(map(len, fresh)) * 2 + len(fresh) * ENTRY_BYTES > self.most_bytes:
+    def look(self, chunks: pa.Array) -> tuple[list, np.ndarray]:
+        """(values of the distinct chunks, for every chunk the place of its value)."""
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        fresh = [c for c in distinct if c not in self.young]
+        if self.size + _cost(fresh) > self.most_bytes:
             self.old, self.young, self.size = self.young, {}, 0
-            fresh = every
-        kept = fresh.intersection(self.old)
-        self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
-        new = list(fresh.difference(kept))
-        self.young.update(zip(new, self.encode(new), strict=True))
-        self.size += sum(map(len, fresh)) * 2 + len(fresh) * ENTRY_BYTES
-        value = self.young.__getitem__
-        out = [list(map(value, some)) for some in chunks]
+            fresh = distinct
+        new = []
         for chunk in fresh:
-            if len(chunk) > LONGEST_KEPT:
-                del self.young[chunk]
-                self.size -= len(chunk) * 2 + ENTRY_BYTES
-        return out
+            if chunk in self.old:
+                self.young[chunk] = self.old[chunk]
+            else:
+                new.append(chunk)
+        self.young.update(zip(new, self.encode(new), strict=True))
+        self.size += _cost(fresh)
+        values = list(map(self.young.__getitem__, distinct))
+        for chunk in [c for c in fresh if len(c) > LONGEST_KEPT]:
+            del self.young[chunk]
+            self.size -= _cost([chunk])
+        return values, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _cost(chunks: list[str]) -> int:
+    return 2 * sum(map(len, chunks)) + ENTRY_BYTES * len(chunks)
+
+
+def dealt(values: list[bytes], place: np.ndarray, texts: np.ndarray, kind=np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, bounds of texts): every chunk's 32-bit ids at all its places.
+
+    ``texts`` are the bounds of the texts in ``place``.
+    """
+    flat = np.frombuffer(b"".join(values), kind)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    starts = np.cumsum(sizes) - sizes
+    size = sizes[place]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(ends[-1]) + np.repeat(starts[place] - ends[:-1], size)
+    return flat[take], ends[texts]

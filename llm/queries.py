@@ -98,7 +98,7 @@ def op12_hard_negatives(spark, sf_dir):
 
 def op13_token_archive(spark, sf_dir):
     archive = token_archive.write(
-        table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID, split_at_space=True)
+        table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), END_ID)
     return token_archive.read(spark, archive).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

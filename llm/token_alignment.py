@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.chunk_cache import ChunkCache, one_thread_each
+from llm.chunk_cache import ChunkCache, dealt, one_thread_each
 from llm.words import sliced
 from phishlake.sources.workdir import materialised, work_dir
 
@@ -91,26 +91,45 @@ class TokenizerPair:
 
     def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of A and B as 32-bit integers; None where either's bytes are not the chunk's."""
-        out = []
-        coded_a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        coded_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for chunk, a, b in zip(chunks, coded_a, coded_b, strict=True):
-            a, want = a.ids, chunk.encode()
-            same = (b"".join(map(self.a_bytes.__getitem__, a)) == want
-                    and b"".join(map(self.b_bytes.__getitem__, b)) == want)
-            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else None)
+        ids = ([c.ids for c in self.a.encode_batch_fast(chunks, add_special_tokens=False)],
+               self.b.encode([c[1:] for c in chunks], num_threads=1))
+        raw = [c.encode() for c in chunks]
+        whole, sizes = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        flat, same = [], True
+        for side, of in zip(ids, (self.a_bytes, self.b_bytes), strict=True):
+            every = list(itertools.chain.from_iterable(side))
+            ends = np.cumsum(np.fromiter(map(len, side), np.int64, len(side)))
+            read = np.concatenate([[0], np.cumsum(np.fromiter(map(len, map(of.__getitem__, every)), np.int64, len(every)))])
+            same &= b"".join(map(of.__getitem__, every)) == whole and (read[ends] == np.cumsum(sizes)).all()
+            data = array("i", every).tobytes()
+            ends = (ends * 4).tolist()
+            flat.append([data[x:y] for x, y in itertools.pairwise([0, *ends])])
+        out = list(zip(*flat, strict=True))
+        if not same:  # rare: find the chunks
+            for k, want in enumerate(raw):
+                if any(b"".join(map(of.__getitem__, side[k])) != want
+                       for side, of in zip(ids, (self.a_bytes, self.b_bytes), strict=True)):
+                    out[k] = None
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(A ids, A bounds, B ids, B bounds) of all texts end to end."""
-        found = self.cache.look([self.find(" " + text) if text else [] for text in texts])
-        found = [[] if None in values else values for values in found]
-        ids, bounds = [], []
+        found = [self.find(" " + text) if text else [] for text in texts]
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        values, place = self.cache.look(pa.array(itertools.chain.from_iterable(found), pa.large_string(), size=int(bounds[-1])))
+        if None in values:  # a text with such a chunk has no tokens
+            bad = np.fromiter((v is None for v in values), bool, len(values))
+            text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
+            gone = np.zeros(len(texts), bool)
+            gone[text_of[bad[place]]] = True
+            place = place[~gone[text_of]]
+            bounds = np.concatenate([[0], np.cumsum(np.where(gone, 0, np.diff(bounds)))])
+            values = [v or (b"", b"") for v in values]
+        out = []
         for side in (0, 1):
-            parts = [b"".join([v[side] for v in values]) for values in found]
-            ids.append(np.frombuffer(b"".join(parts), np.int32).astype(np.int64))
-            bounds.append(np.concatenate([[0], np.cumsum(np.array(list(map(len, parts)), np.int64) // 4)]))
-        return ids[0], bounds[0], ids[1], bounds[1]
+            ids, ends = dealt([v[side] for v in values], place, bounds, np.int32)
+            out += [ids.astype(np.int64), ends]
+        return tuple(out)
 
 
 def merge_in_step(a_end: np.ndarray, b_end: np.ndarray, a_bounds: np.ndarray, b_bounds: np.ndarray,

@@ -16,89 +16,124 @@ no part, whatever their names.
 from __future__ import annotations
 
 import functools
+import json
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.chunk_cache import ChunkCache, one_thread_each
+from llm.chunk_cache import ChunkCache, dealt, one_thread_each
 from llm.simple8b import from_segment, to_segment
 from llm.words import sliced
 from phishlake.sources.workdir import work_dir
 
 #: A segment ends after the document that reaches so many ids.
 SEGMENT_IDS = 1 << 19
+#: Text that is encoded at once, and the cache of words (each of its two generations).
+SLICE_BYTES = 4 << 20
+CACHE_BYTES = 128 << 20
+
+
+#: The shape of a tokenizer whose texts may be cut at spaces and between a word and the points after it: it
+#: drops white space and folds case, and its pattern never joins letters to anything else, an apostrophe
+#: with certain letters apart (fixed value, from the public vocabulary file).
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+POINTS_AFTER_A_WORD = r"(\pL)([,.;:!?)]+)( |$)"
+
+
+def _parts_words(shape: dict) -> bool:
+    steps = (shape.get("normalizer") or {}).get("normalizers", [])
+    split = ((shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return ([s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split"
+            and split.get("behavior") == "Removed" and split.get("pattern") == {"Regex": WORD_PATTERN})
 
 
 class LibraryTokenizer:
-    """Ids of texts; chunks between single spaces are looked up in a cache if ``split_at_space``."""
+    """Ids of texts; words are encoded once and looked up where the tokenizer is known to part them."""
 
-    def __init__(self, path: str, split_at_space: bool):
+    def __init__(self, path: str):
         one_thread_each()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = (lambda text: text.split(" ")) if split_at_space else (lambda text: [text])
-        self.cache = ChunkCache(self._encode)
+        with open(path, encoding="utf-8") as file:
+            self.parts_words = _parts_words(json.load(file))
+        self.cache = ChunkCache(self._encode, CACHE_BYTES)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         coded = self.library.encode_batch_fast(chunks, add_special_tokens=False)
         return [array("I", c.ids).tobytes() for c in coded]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as unsigned 32-bit integers."""
-        return list(map(b"".join, self.cache.look([self.split(text) for text in texts])))
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, bounds); a null text has none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.parts_words:
+            values, place = self.cache.look(texts)
+            return dealt(values, place, np.arange(len(texts) + 1))
+        spaced = pc.replace_substring_regex(texts, POINTS_AFTER_A_WORD, r"\1 \2\3")
+        split = pc.split_pattern(spaced, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten()
+        # case may be folded early in words of plain letters; special tokens' strings are of a fixed case
+        folds = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        values, place = self.cache.look(pc.if_else(folds, pc.ascii_lower(words), words))
+        return dealt(values, place, bounds - bounds[0])
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(name: str, split_at_space: bool) -> LibraryTokenizer:
-    return LibraryTokenizer(SparkFiles.get(name), split_at_space)
+def _tokenizer(name: str) -> LibraryTokenizer:
+    return LibraryTokenizer(SparkFiles.get(name))
 
 
-def write(docs: DataFrame, tokenizer_file: str, end_id: int, split_at_space: bool = False, key: str = "doc_id",
-          text: str = "text", segment_ids: int = SEGMENT_IDS) -> str:
+def write(docs: DataFrame, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text",
+          segment_ids: int = SEGMENT_IDS) -> str:
     """Write the archive to a fresh shared folder and return its path.
 
-    ``split_at_space`` says that the tokenizer drops spaces and never joins what stands on two sides of one:
-    then words are encoded once and looked up. The file is shipped to the executors.
+    The tokenizer's file (a path on the driver) is shipped to the executors.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(tokenizer_file)
     name = tokenizer_file.rstrip("/").rsplit("/", 1)[-1]
 
     def run(batches):
-        tokenizer = _tokenizer(name, split_at_space)
+        tokenizer = _tokenizer(name)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        keys, ids, held = [], [], 0
+        keys, ids, lengths, held = [], [], [], 0
 
         def segment():
-            lengths = np.array([len(i) // 4 + 1 for i in ids], np.int64)
-            end = np.uint32(end_id).tobytes()
-            values = np.frombuffer(b"".join([x for i in ids for x in (i, end)]), np.uint32)
+            values = np.concatenate(ids)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()),
                  pa.array([len(values)], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(keys)),
-                 pa.array([to_segment(values, lengths)], pa.binary())],
+                 pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(keys)),
+                 pa.array([to_segment(values, np.array(lengths))], pa.binary())],
                 ["part", "seq", "before", "n_ids", "keys", "data"])
 
         for batch in batches:
-            for some in sliced(batch, "text", 1 << 20):
-                coded = tokenizer.encode([t or "" for t in some.column("text").to_pylist()])
+            for some in sliced(batch, "text", SLICE_BYTES):
+                coded, ends = tokenizer.encode(some.column("text"))
+                # the end id goes after every document
+                coded = np.insert(coded, ends[1:], np.uint32(end_id))
+                ends = ends + np.arange(len(ends))
                 at = 0
-                for row, one in enumerate(coded):
-                    ids.append(one)
-                    held += len(one) // 4 + 1
+                while at < some.num_rows:
+                    # as many documents as the segment takes, the one that fills it included
+                    to = min(int(np.searchsorted(ends, ends[at] + segment_ids - held)), some.num_rows)
+                    to = max(to, at + 1)
+                    keys.append(some.column("key").slice(at, to - at))
+                    ids.append(coded[ends[at]:ends[to]])
+                    lengths += np.diff(ends[at:to + 1]).tolist()
+                    held += int(ends[to] - ends[at])
+                    at = to
                     if held >= segment_ids:
-                        keys.append(some.column("key").slice(at, row + 1 - at))
                         yield segment()
-                        seq, before, at = seq + 1, before + held, row + 1
-                        keys, ids, held = [], [], 0
-                keys.append(some.column("key").slice(at))
-        if ids:
+                        seq, before = seq + 1, before + held
+                        keys, ids, lengths, held = [], [], [], 0
+        if lengths:
             yield segment()
 
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -147,12 +148,14 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
         assert a.tolist() == whole_a and b.tolist() == whole_b
     else:
         assert not len(a) and not len(b)
-    assert np.frombuffer(words.encode([text])[0], np.uint32).tolist() == words.library.encode(text, add_special_tokens=False).ids
+    ids, bounds = words.encode(pa.array([text, None, text]))
+    want = words.library.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == want * 2 and bounds.tolist() == [0, len(want), len(want), 2 * len(want)]
 
 
 def _kept(name, kept={}):  # noqa: B006
     if not kept:
-        kept.update(pair=token_alignment.TokenizerPair(A, B), words=token_archive.LibraryTokenizer(WORDS, True))
+        kept.update(pair=token_alignment.TokenizerPair(A, B), words=token_archive.LibraryTokenizer(WORDS))
     return kept[name]
 
 
@@ -160,8 +163,9 @@ def test_cache_is_bounded_in_bytes():
     asked = []
     cache = ChunkCache(lambda new: (asked.extend(new), [c.upper() for c in new])[1], most_bytes=30_000)
     for i in range(40):
-        lists = [[f"w{i}-{j}" for j in range(20)], ["often"], ["x" * 600]]
-        assert cache.look(lists) == [[c.upper() for c in some] for some in lists]
+        chunks = [*(f"w{i}-{j}" for j in range(20)), "often", "x" * 600, "often"]
+        values, place = cache.look(pa.array(chunks))
+        assert [values[k] for k in place] == [c.upper() for c in chunks]
         assert cache.size <= 30_000 and len(cache.young) <= 120 and "x" * 600 not in cache.young
     assert asked.count("often") == 1 and asked.count("x" * 600) == 40
 
@@ -194,7 +198,7 @@ def test_simple8b_packs_and_checks():
 @pytest.mark.parametrize("segment_ids", [1, 500, token_archive.SEGMENT_IDS])
 def test_archive_equals_library(spark, docs, segment_ids):
     library = Tokenizer.from_file(WORDS)
-    archive = token_archive.write(docs, WORDS, 1, split_at_space=True, segment_ids=segment_ids)
+    archive = token_archive.write(docs, WORDS, 1, segment_ids=segment_ids)
     got = token_archive.read(spark, archive).collect()
     rows = rows_of_all_kinds()
     ids = {text: [*library.encode(text or "", add_special_tokens=False).ids, 1] for _, text in rows}
