@@ -157,11 +157,11 @@ _STATUS = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'canceled' WHEN '2-HIGH' T
            "WHEN '3-MEDIUM' THEN 'active' ELSE 'past_due' END")
 
 
-def billing(spark, sf):
-    return table(spark, sf, "orders").select(
+def billing(orders, subscription="o_custkey % 500"):
+    return orders.select(
         (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(secs=F.col("o_orderkey") % 80000)).alias("ts"),
         F.expr(_TYPE).alias("event_type"), F.expr(_STATUS).alias("status"),
-        (F.col("o_custkey") % 500).cast("string").alias("subscription_id"), F.expr(_KEY).alias("licence_key"))
+        F.expr(subscription).cast("string").alias("subscription_id"), F.expr(_KEY).alias("licence_key"))
 
 
 BILLING_SQL = f"""billing AS (SELECT epoch_us(CAST(o_orderdate AS TIMESTAMP)) + (o_orderkey % 80000) * 1000000 AS ts,
@@ -176,7 +176,7 @@ state AS (SELECT k AS licence_key, sub AS subscription_id,
 
 
 def s08(spark, sf):
-    return licence_state(billing(spark, sf))
+    return licence_state(billing(table(spark, sf, "orders")))
 
 
 _ASKED = (f"CASE o_orderkey % 4 WHEN 0 THEN {_KEY} WHEN 1 THEN lower(concat(' ', {_KEY}, ' ')) "
@@ -185,7 +185,7 @@ _ASKED = (f"CASE o_orderkey % 4 WHEN 0 THEN {_KEY} WHEN 1 THEN lower(concat(' ',
 
 def s09(spark, sf):
     asked = table(spark, sf, "orders").select("o_orderkey", F.expr(_ASKED).alias("key"))
-    out = verify_keys(asked, licence_state(billing(spark, sf)), "LIC")
+    out = verify_keys(asked, licence_state(billing(table(spark, sf, "orders"))), "LIC")
     return out.select("o_orderkey", "clean_key", F.col("valid").cast("int").alias("valid"), "status")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import seeds
 from checks.inputs import NAV_SQL, pages_with_forms, table
-from checks.ops_checks import BURSTS_SQL, W04_SQL, overrides
+from checks.ops_checks import BILLING_SQL, billing
 from checks.page_checks import CONFIG, PAGE_SQL
 from checks.url_checks import _C, verdict_ctes
 from phishlake.functions.hosts import with_canonical_host
@@ -15,9 +15,13 @@ from phishlake.plans.page_job import score_pages
 from phishlake.plans.url_job import score_urls
 from phishlake.sources.html_features import extract_page_features
 from phishlake.sources.workdir import work_dir
-from phishlake.streaming import jobs
+from phishlake.streaming import jobs, stateful
 
-RATE_SPEED = 3_000
+#: Times run faster by these factors, so that limits and bursts occur per user.
+RATE_SPEED = 30_000
+BURST_SPEED = 60_000
+BURST_DELAY = "1 second"
+OVERRIDE_LIFE = "10 days"
 
 
 def _stream(spark, sf, name):
@@ -27,11 +31,11 @@ def _stream(spark, sf, name):
     )
 
 
-def nav_stream(spark, sf):
-    """Page views as a stream, pointed at the static pages."""
+def nav_stream(spark, sf, event_type="view"):
+    """Events of a type as a stream, pointed at the static pages."""
     pages = table(spark, sf, "pages").select("page_id", "url")
     n = pages.count()
-    views = _stream(spark, sf, "events").filter("event_type = 'view'").select(
+    views = _stream(spark, sf, "events").filter(F.col("event_type") == event_type).select(
         "event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"),
         (F.col("event_id") % n).alias("page_id"))
     return views.join(pages, "page_id").select("event_id", "session_id", "ts", "url")
@@ -63,58 +67,69 @@ def w02(spark, sf):
     return spark.read.parquet(f"{out}/data").select("page_id", "content_score", "content_verdict")
 
 
-def w03(spark, sf):
-    micros = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 300).cast("bigint")
+def _views(spark, sf):
+    """Events as looks at the mailbox of their user."""
+    micros = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / BURST_SPEED).cast("bigint")
     views = _stream(spark, sf, "events").select(
-        (F.col("user_id") % 2).alias("mailbox"), F.timestamp_micros(micros).alias("ts"),
+        F.col("user_id").alias("mailbox"), F.timestamp_micros(micros).alias("ts"), F.col("event_id").alias("view_id"),
         F.when(F.col("event_type") < "p", "early").otherwise("late").alias("signature"))
-    out = work_dir(spark, "debounce")
-    calm = jobs.debounced_stream(jobs.with_event_time(views))
-    jobs.write_counts(calm, f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    return _last_batch(spark, f"{out}/data").select(
-        "mailbox", F.unix_micros("ts").alias("micros"), "signature")
+    return jobs.with_event_time(views, delay=BURST_DELAY)
+
+
+def _run(spark, rows, name, idle_batches=True):
+    out = work_dir(spark, name)
+    stateful.start_stateful(rows, f"{out}/data", f"{out}/checkpoint", idle_batches).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/data")
+
+
+def w03(spark, sf):
+    """Last view of every burst that the watermark has closed."""
+    return _run(spark, stateful.bursts(_views(spark, sf)), "bursts").select("mailbox", "micros", "signature")
 
 
-def _last_batch(spark, out):
-    """The newest full result of a complete-mode query."""
-    last = spark.read.parquet(out).agg(F.max("batch")).collect()[0][0]
-    return spark.read.parquet(f"{out}/batch={last}")
+def w03_scans(spark, sf):
+    return _run(spark, stateful.scans(_views(spark, sf)), "scans").select("mailbox", "view_id", "signature")
+
+
+CLOSED_BURSTS_SQL = f"""views AS (SELECT user_id AS mailbox, epoch_us(ts) // {BURST_SPEED} AS us,
+    CASE WHEN event_type < 'p' THEN 'early' ELSE 'late' END AS signature, event_id FROM events),
+closed AS (SELECT * FROM (SELECT *, lead(us) OVER (PARTITION BY mailbox ORDER BY us, event_id) AS nx FROM views)
+    WHERE (nx IS NULL OR nx - us >= 600000)
+        AND us + 599999 <= (SELECT (max(us) // 1000 - 1000) * 1000 FROM views))"""
 
 
 def w04(spark, sf):
-    """Navigations and overrides as one stream, state per session and host."""
-    _, first = overrides(spark, sf)
-    marks = first.select("session_id", F.col("host").alias("_h"), F.col("ts").alias("_o"))
-    rows = with_canonical_host(nav_stream(spark, sf), "url", "host").join(marks, "session_id")
-    kinds = F.array(
-        F.struct(F.lit("nav").alias("kind"), "host", "ts"),
-        F.struct(F.lit("override").alias("kind"), F.col("_h").alias("host"), F.col("_o").alias("ts")))
-    both = rows.select("session_id", F.col("event_id").alias("id"), F.explode(kinds).alias("k")).select(
-        "session_id", "id", "k.*")
-    out = work_dir(spark, "overrides")
-    q = jobs.overridden_stream(both).writeStream.format("parquet").option("path", f"{out}/data").option(
-        "checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/data").select(F.col("id").alias("event_id"), "session_id", "host")
+    """Navigations and overrides as two streams: a user accepts the host of each sign-up's page."""
+    def hosts(event_type):
+        return jobs.with_event_time(with_canonical_host(nav_stream(spark, sf, event_type), "url", "host").select(
+            "event_id", "session_id", "host", "ts"))
+    rows = stateful.not_overridden(hosts("view"), hosts("signup"), OVERRIDE_LIFE)
+    return _run(spark, rows, "overrides").select("event_id", "session_id", "host")
+
+
+_HOSTS = """(SELECT event_id, user_id AS session_id, ts, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM (
+    SELECT *, event_id % (SELECT count(*) FROM pages) AS page_id FROM events WHERE event_type = '{kind}') e JOIN pages USING (page_id))"""
+W04_SQL = f"""WITH n AS {_HOSTS.format(kind='view')}, o AS {_HOSTS.format(kind='signup')},
+mark AS (SELECT least((SELECT max(ts) FROM n), (SELECT max(ts) FROM o)) - INTERVAL 10 MINUTE AS w)
+SELECT event_id, session_id, host FROM n WHERE ts <= (SELECT w FROM mark) AND NOT EXISTS (
+    SELECT 1 FROM o WHERE o.session_id = n.session_id AND o.host = n.host AND o.ts <= n.ts
+        AND o.ts >= n.ts - INTERVAL {OVERRIDE_LIFE})"""
 
 
 def w05(spark, sf):
-    """Events as calls, with time run faster so that the limit bites."""
+    """Events as calls of their user, with time run faster so that the limit bites."""
     micros = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / RATE_SPEED).cast("bigint")
     calls = _stream(spark, sf, "events").select(
-        F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("key"),
+        F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("key"),
         F.col("event_id").alias("call_id"), F.timestamp_micros(micros).alias("ts"))
     out = work_dir(spark, "rate")
-    q = jobs.rate_limited(jobs.with_event_time(calls)).writeStream.format("parquet").option(
-        "path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode(
-        "append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    stateful.limit_calls(calls, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/data").select(
         "key", "call_id", F.col("allowed").cast("int").alias("allowed"))
 
 
-W05_SQL = f"""WITH RECURSIVE calls AS (SELECT concat('k', user_id % 20) AS key, event_id, epoch_us(ts) // {RATE_SPEED} AS us,
-    row_number() OVER (PARTITION BY user_id % 20 ORDER BY epoch_us(ts) // {RATE_SPEED}, event_id) AS rn FROM events),
+W05_SQL = f"""WITH RECURSIVE calls AS (SELECT concat('k', user_id) AS key, event_id, epoch_us(ts) // {RATE_SPEED} AS us,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // {RATE_SPEED}, event_id) AS rn FROM events),
 walk AS (
     SELECT key, event_id, rn, CAST(1 AS INTEGER) AS cnt, us + 60000000 AS until, CAST(1 AS INTEGER) AS ok
     FROM calls WHERE rn = 1
@@ -126,6 +141,12 @@ walk AS (
 SELECT key, event_id AS call_id, ok AS allowed FROM walk"""
 
 
+def s08_stream(spark, sf):
+    """Billing events as a stream, a subscription per customer; the state of every key from its changes."""
+    changes = stateful.licence_changes(billing(_stream(spark, sf, "orders"), "o_custkey"))
+    return stateful.licences_now(_run(spark, changes, "licences"))
+
+
 def w06(spark, sf):
     """Hourly event counts, closed windows only: the watermark trails by ten minutes."""
     counts = jobs.windowed_counts(
@@ -144,7 +165,7 @@ def w07(spark, sf):
         spark.readStream.schema(scored.schema).parquet(f"{out}/nav/data"))
     counts = jobs.windowed_counts(stream, "ts", "1 hour", "verdict")
     jobs.write_counts(counts, f"{out}/data", f"{out}/checkpoint").awaitTermination()
-    return _last_batch(spark, f"{out}/data").select(
+    return jobs.merged_counts(spark, f"{out}/data", "verdict").select(
         F.unix_seconds("window_start").alias("hour"), "verdict", "n")
 
 
@@ -155,9 +176,14 @@ CHECKS = {
     "w02_page_stream": (w02, f"""WITH {PAGE_SQL} SELECT page_id, CAST(content_score AS INTEGER) AS content_score,
         CASE WHEN content_score >= 80 THEN 'high' WHEN content_score >= 55 THEN 'medium'
              WHEN content_score >= 30 THEN 'low' ELSE 'safe' END AS content_verdict FROM pv"""),
-    "w03_debounce_stream": (w03, f"WITH {BURSTS_SQL} SELECT mailbox, us AS micros, signature FROM calm"),
+    "w03_debounce_stream": (w03, f"WITH {CLOSED_BURSTS_SQL} SELECT mailbox, us AS micros, signature FROM closed"),
+    "w03_scan_stream": (w03_scans, f"""WITH {CLOSED_BURSTS_SQL} SELECT mailbox, event_id AS view_id, signature FROM (
+        SELECT *, lag(signature) OVER (PARTITION BY mailbox ORDER BY us, event_id) AS pv FROM closed)
+        WHERE pv IS DISTINCT FROM signature"""),
     "w04_override_stream": (w04, W04_SQL),
     "w05_rate_limit_stream": (w05, W05_SQL),
+    "s08_licence_stream": (
+        s08_stream, f"WITH {BILLING_SQL.replace('o_custkey % 500', 'o_custkey')} SELECT * FROM state"),
     "w06_late_data_watermark": (w06, """SELECT hour, event_type, n FROM (
         SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, event_type, count(*) AS n
         FROM events GROUP BY 1, 2)

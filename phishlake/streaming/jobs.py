@@ -2,20 +2,16 @@
 
 Scoring is stateless per row but uses joins with distinct hosts, so it runs per
 micro-batch with ``foreachBatch``; lists are asked for again for every batch.
-Stateful parts (rate limit, overrides, mail debounce) keep a few values per key.
+Streams with state of their own are in ``stateful.py``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from phishlake import fixed_values as fv
 
 WATERMARK = "10 minutes"
 
@@ -49,17 +45,26 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, *keys: str) -> DataF
 
 
 def write_counts(counts: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the full table of windows, the still open one included."""
+    """Write the windows that a micro-batch changes under its batch number; ``merged_counts`` reads them.
+
+    Only changed windows are written, open ones included, and a window's state ends when the
+    watermark has passed it. A replayed batch replaces its own folder.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        counts.writeStream.outputMode("complete").foreachBatch(write)
+        counts.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def merged_counts(spark: SparkSession, out: str, *keys: str) -> DataFrame:
+    """The newest count of every window of ``write_counts``, merged on read (partial newest per file, then one shuffle)."""
+    return spark.read.parquet(out).groupBy("window_start", *keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def write_closed_windows(counts: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append each window once, when the watermark has passed its end; later rows
     of a closed window are dropped."""
@@ -68,82 +73,3 @@ def write_closed_windows(counts: DataFrame, out: str, checkpoint: str, **trigger
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
-
-
-# --- rate limit ---------------------------------------------------------------
-
-def _take(times: list[int], count: int, expires: int) -> tuple[list[bool], int, int]:
-    """Walk calls (microseconds) through the limiter; returns flags and new state."""
-    allowed = []
-    for t in times:
-        if t >= expires:
-            count = 0
-        ok = count < fv.RATE_LIMIT_CALLS
-        if ok:
-            count += 1
-            expires = t + fv.RATE_LIMIT_TTL_SECONDS * 1_000_000
-        allowed.append(ok)
-    return allowed, count, expires
-
-
-def rate_limited(calls: DataFrame) -> DataFrame:
-    """(key, call_id, ts) stream -> key, call_id, ts, allowed.
-
-    Each accepted call sets the counter's life to 60 seconds again; refused calls do
-    not. That differs from a tumbling window of 60 seconds. Calls of one micro-batch
-    count by time, whatever files they came in; a call that arrives in a later batch
-    than younger ones is judged as the counter stands. Every call gets an answer: an
-    event-time timeout would make Spark drop late ones. State is two numbers per key,
-    so it is bounded by the keys issued; one key's calls of one micro-batch (three
-    columns) are sorted in memory, which the trigger's size bounds.
-    """
-    schema = "key string, call_id long, ts timestamp, allowed boolean"
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, expires = state.get if state.exists else (0, 0)
-        pdf = pd.concat([b[["key", "call_id", "ts"]] for b in batches]).sort_values(["ts", "call_id"])
-        micros = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        flags, count, expires = _take(micros, count, expires)
-        state.update((count, expires))
-        yield pdf.assign(allowed=flags)
-
-    return calls.groupBy("key").applyInPandasWithState(
-        run, schema, "count long, expires long", "append", GroupStateTimeout.NoTimeout)
-
-
-# --- session overrides --------------------------------------------------------
-
-def overridden_stream(events: DataFrame) -> DataFrame:
-    """(session_id, host, ts, id, kind) stream of navigations and overrides.
-
-    Emits navigations not covered by an override seen earlier for the same
-    session and host. The state of a pair is the time of its first override.
-    """
-    schema = "session_id long, host string, ts timestamp, id long"
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start = state.get[0] if state.exists else None
-        for pdf in batches:
-            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-            marks = micros[pdf["kind"] == "override"]
-            if len(marks):
-                start = int(marks.min()) if start is None else min(start, int(marks.min()))
-            keep = pdf["kind"] == "nav"
-            if start is not None:
-                keep &= micros < start
-            yield pdf.loc[keep, ["session_id", "host", "ts", "id"]]
-        if start is not None:
-            state.update((start,))
-
-    return events.groupBy("session_id", "host").applyInPandasWithState(
-        run, schema, "first_override long", "append", GroupStateTimeout.NoTimeout)
-
-
-# --- mail debounce ------------------------------------------------------------
-
-def debounced_stream(views: DataFrame, quiet_ms: int = fv.MAIL_DEBOUNCE_MS) -> DataFrame:
-    """(mailbox, ts, signature) stream -> last signature of every burst."""
-    burst = F.session_window("ts", f"{quiet_ms} milliseconds")
-    return views.groupBy("mailbox", burst.alias("w")).agg(
-        F.max("ts").alias("ts"), F.max_by("signature", "ts").alias("signature"),
-    ).select("mailbox", "ts", "signature")
