@@ -27,7 +27,10 @@ def one_thread_each() -> None:
 
 
 class ChunkCache:
-    """Values of chunks in two generations, so that chunks in use survive; each holds ``most_bytes``."""
+    """Values of chunks in two generations, so that chunks in use survive; each holds ``most_bytes``.
+
+    ``encode`` gives a value other than None for every chunk.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list], most_bytes: int = 64 << 20):
         self.encode, self.most_bytes = encode, most_bytes
@@ -38,23 +41,22 @@ class ChunkCache:
     def look(self, chunks: pa.Array) -> tuple[list, np.ndarray]:
         """(values of the distinct chunks, for every chunk the place of its value)."""
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = [c for c in distinct if c not in self.young]
-        if self.size + _cost(fresh) > self.most_bytes:
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        values = list(map(self.young.get, distinct))
+        fresh = [i for i, v in enumerate(values) if v is None]
+        if self.size + _cost([distinct[i] for i in fresh]) > self.most_bytes:
             self.old, self.young, self.size = self.young, {}, 0
-            fresh = distinct
+            values, fresh = [None] * len(distinct), range(len(distinct))
         new = []
-        for chunk in fresh:
-            if chunk in self.old:
-                self.young[chunk] = self.old[chunk]
-            else:
-                new.append(chunk)
-        self.young.update(zip(new, self.encode(new), strict=True))
-        self.size += _cost(fresh)
-        values = list(map(self.young.__getitem__, distinct))
-        for chunk in [c for c in fresh if len(c) > LONGEST_KEPT]:
-            del self.young[chunk]
-            self.size -= _cost([chunk])
+        for i in fresh:
+            values[i] = self.old.get(distinct[i])
+            if values[i] is None:
+                new.append(i)
+        for i, value in zip(new, self.encode([distinct[i] for i in new]), strict=True):
+            values[i] = value
+        kept = [i for i in fresh if len(distinct[i]) <= LONGEST_KEPT]
+        self.young.update((distinct[i], values[i]) for i in kept)
+        self.size += _cost([distinct[i] for i in kept])
         return values, coded.indices.to_numpy(zero_copy_only=False)
 
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import operator
 import re
 from array import array
 
@@ -83,16 +84,24 @@ class TokenizerPair:
         with open(a_path, encoding="utf-8") as file:
             shape = json.load(file)
         split = shape.get("pre_tokenizer") or {}
-        cuts = (shape.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex")
-                and not any(re.search("[^▁]▁", p) for p in pieces))
+        self.space = next(c for c, b in alphabet.items() if b == 0x20)
+        self.cuts = (shape.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex")
+                     and not any(re.search("[^▁]▁", p) for p in pieces))
         #: Neither tokenizer joins a word to the space after it, or the whole text is one chunk.
-        self.find = _CHUNK.findall if cuts else lambda text: [text]
+        self.find = _CHUNK.findall if self.cuts else lambda text: [text]
         self.cache = ChunkCache(self.encode_chunks)
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of A and B as 32-bit integers; None where either's bytes are not the chunk's."""
-        ids = ([c.ids for c in self.a.encode_batch_fast(chunks, add_special_tokens=False)],
-               self.b.encode([c[1:] for c in chunks], num_threads=1))
+    def _a_ids(self, chunks: list[str]) -> list[list[int]]:
+        """A's ids; a space and plain letters are one piece to A, spelt as they are but for the space."""
+        plain = [self.cuts and c.isascii() and c[1:].isalpha() and c[0] == " " for c in chunks]
+        rest = iter(self.a.encode_batch_fast(list(itertools.compress(chunks, map(operator.not_, plain))), add_special_tokens=False))
+        merge = self.a.model.tokenize
+        return [[t.id for t in merge(self.space + c[1:])] if known else next(rest).ids
+                for c, known in zip(chunks, plain, strict=True)]
+
+    def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | tuple[()]]:
+        """Ids of A and B as 32-bit integers; nothing where either's bytes are not the chunk's."""
+        ids = (self._a_ids(chunks), self.b.encode([c[1:] for c in chunks], num_threads=1))
         raw = [c.encode() for c in chunks]
         whole, sizes = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
         flat, same = [], True
@@ -109,7 +118,7 @@ class TokenizerPair:
             for k, want in enumerate(raw):
                 if any(b"".join(map(of.__getitem__, side[k])) != want
                        for side, of in zip(ids, (self.a_bytes, self.b_bytes), strict=True)):
-                    out[k] = None
+                    out[k] = ()
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,8 +126,8 @@ class TokenizerPair:
         found = [self.find(" " + text) if text else [] for text in texts]
         bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
         values, place = self.cache.look(pa.array(itertools.chain.from_iterable(found), pa.large_string(), size=int(bounds[-1])))
-        if None in values:  # a text with such a chunk has no tokens
-            bad = np.fromiter((v is None for v in values), bool, len(values))
+        if () in values:  # a text with such a chunk has no tokens
+            bad = np.fromiter((not v for v in values), bool, len(values))
             text_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
             gone = np.zeros(len(texts), bool)
             gone[text_of[bad[place]]] = True
