@@ -21,7 +21,7 @@ from phishlake.functions.hosts import (
 )
 from phishlake.functions.settle import settled
 from phishlake.operators.lookalike import (
-    close_enough, host_keys, lookalike_targets, target_keys,
+    close_enough, host_keys, lookalike_targets, target_keys, target_shapes,
 )
 from phishlake.operators.lookups import (
     ListTable, hot_keys, local_frame, longest_suffix_join, lookup_join, salted_join,
@@ -40,7 +40,7 @@ class UrlConfig:
     min_lookalike_len: int = 0
 
 
-def _probe_keys(allow: ListTable) -> Column:
+def _probe_keys(allow: ListTable, shapes: list[int]) -> Column:
     """Join keys of one unlisted host: label runs, look-alike pieces, and itself.
 
     The last one (kind 'self') keeps the host alive when nothing else matches.
@@ -52,7 +52,7 @@ def _probe_keys(allow: ListTable) -> Column:
     zero = F.lit(0)
     runs = F.transform(label_runs(F.col("host"), allow.depths),
                        lambda r: key("run", zero, zero, r))
-    pieces = F.transform(F.array_distinct(host_keys("_folded", allow.lengths)),
+    pieces = F.transform(F.array_distinct(host_keys("_folded", shapes)),
                          lambda k: key("alike", k["m"], k["no"], k["piece"]))
     myself = F.array(key("self", zero, zero, F.lit("")))
     return F.when(F.col("allow").isNull() & ~F.col("blocked"),
@@ -92,7 +92,7 @@ def host_facts(hosts: DataFrame, allow: ListTable, block: ListTable,
         .withColumn("_folded", fold_lookalikes(F.col("raw_host")))
     )
     keep = [*HOST_KEYS, "allow", "blocked", "_folded"]
-    df = df.select(*keep, F.explode_outer(_probe_keys(allow)).alias("_k")).select(*keep, "_k.*")
+    df = df.select(*keep, F.explode_outer(_probe_keys(allow, target_shapes(allow, config.min_lookalike_len))).alias("_k")).select(*keep, "_k.*")
     df = lookup_join(df, _probe_targets(allow, config.min_lookalike_len),
                      ["kind", "m", "no", "piece"], allow.small, "inner")
     target = F.col("_target")

@@ -10,7 +10,7 @@ from phishlake.functions.hosts import fold_lookalikes
 from phishlake.operators import lookups as L
 from phishlake.operators import term_join
 from phishlake.operators.asof import asof_ttl_join
-from phishlake.operators.lookalike import lookalike_pairs
+from phishlake.operators.lookalike import candidates, lookalike_pairs
 from phishlake.operators.neighbours import with_neighbour
 from phishlake.plans.url_job import score_urls
 from phishlake.sources.lists import allow_table, block_table
@@ -72,7 +72,7 @@ def test_null_keys_are_spread_and_match_nothing(spark):
 
 def test_piece_keys_find_every_close_pair(spark):
     rng = random.Random(5)
-    letters = "abcd.-"
+    letters = "abcrn.-"
     targets = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(60)]
     targets = list(dict.fromkeys(targets))
 
@@ -100,6 +100,23 @@ def test_piece_keys_find_every_close_pair(spark):
     assert len(got) > 500
 
 
+@pytest.mark.parametrize("endings", [[".com"], [".com", ".ca", ".co.uk", ".gov.au", ".example"]])
+def test_common_endings_find_few_candidates(spark, endings):
+    """Unrelated names under the same endings: under one pair in a hundred reaches the edit-distance test."""
+    rng = random.Random(9)
+
+    def names(n):
+        return sorted({"".join(rng.choice("abcdefghiklmnoprstuvy") for _ in range(rng.randint(7, 13))) + rng.choice(endings)
+                       for _ in range(n)})
+    targets, hosts = names(2000), names(2000)
+    close = [t.replace(t[2], "x", 1) for t in targets[:300]]
+    table = allow_table(spark.createDataFrame([(t, t, None, True, i) for i, t in enumerate(targets)], SCHEMA))
+    h = spark.createDataFrame([(x,) for x in {*hosts, *close}], "raw_host string")
+    found = candidates(h, "raw_host", table).where("ord is not null").count()
+    assert found < 0.005 * len(targets) * len(hosts)
+    assert lookalike_pairs(h, "raw_host", table).select("raw_host").distinct().count() >= 300
+
+
 def test_last_duplicate_of_a_domain_wins(spark):
     rows = [("Bank.test", "old", None, True, 0), ("bank.test", "new", "https://bank.test/", False, 1)]
     table = allow_table(spark.createDataFrame(rows, SCHEMA))
