@@ -14,6 +14,7 @@ from phishlake.operators import reports
 from phishlake.operators.licences import licence_state, verify_keys
 from phishlake.operators.overrides import debounced, drop_overridden, mail_scans
 from phishlake.plans.url_job import score_urls
+from phishlake.sources import list_store
 from phishlake.sources.feeds import build_known_bad, next_version
 from phishlake.sources.html_features import extract_mail
 from phishlake.sources.lists import list_diff, load_list, refresh_plan, validate_lists
@@ -95,6 +96,35 @@ SELECT coalesce(c.url, n.url) AS list_name, coalesce(cv, '-') AS current_version
     CAST(coalesce(nv <> '' AND nv IS DISTINCT FROM cv, FALSE) AS INTEGER) AS replaced
 FROM c FULL JOIN n ON c.url = n.url"""
 
+
+
+def _hosted_lists(spark, sf, version, entry):
+    host = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    return table(spark, sf, "pages").withColumn("list_name", host).select("list_name", version.alias("version"), entry.alias("entry"))
+
+
+def s04_store(spark, sf):
+    """Pages as entries of one list per host: a first load, then a refresh with failing, unversioned and unchanged lists."""
+    n = F.length("list_name")
+    base = work_dir(spark, "lists")
+    first = _hosted_lists(spark, sf, F.concat(F.lit("1."), n % 3), F.col("url")).where("length(list_name) % 7 <> 0")
+    newer = F.element_at(F.array(F.lit("1.0"), F.lit(None).cast("string"), F.lit("1.2"), F.lit("")), (n % 4 + 1).cast("int"))
+    second = _hosted_lists(spark, sf, newer, F.when((n % 5 > 0) | (F.col("page_id") % 3 > 0), F.concat("url", F.lit("?2"))))
+    numbers = [list_store.refresh(spark, base, some, F.col("entry").isNull()) for some in (first, second)]
+    kept = [list_store.lists_as_of(spark, base, k).withColumn("as_of", F.lit(k)) for k in numbers]
+    return kept[0].unionByName(kept[1])
+
+
+S04_STORE_SQL = """WITH p AS (SELECT *, regexp_extract(url, '^https?://([^/]+)', 1) AS h, len(h) AS n FROM pages),
+a AS (SELECT h, concat('1.', n % 3) AS v, url AS entry FROM p WHERE n % 7 <> 0),
+b AS (SELECT h, ['1.0', NULL, '1.2', ''][n % 4 + 1] AS v,
+        CASE WHEN n % 5 > 0 OR page_id % 3 > 0 THEN concat(url, '?2') END AS entry FROM p),
+taken AS (SELECT b.h FROM b GROUP BY b.h HAVING count(*) = count(entry) AND max(v) <> ''
+    AND max(v) IS DISTINCT FROM (SELECT max(v) FROM a WHERE a.h = b.h))
+SELECT 1 AS as_of, h AS list_name, v AS version, entry FROM a
+UNION ALL SELECT 2, h, v, entry FROM a WHERE h NOT IN (SELECT h FROM taken)
+UNION ALL SELECT 2, h, v, entry FROM b WHERE h IN (SELECT h FROM taken)"""
+
 _SUBJECT = ["Hello there", None, "", "Invoice <1>"]
 
 
@@ -260,6 +290,7 @@ CHECKS = {
     "s02_validate_lists": (s02, S02_SQL),
     "s03_build_known_bad": (s03, f"WITH {_FEED_SQL} SELECT host, '1.4.10' AS version FROM bad"),
     "s04_versioned_refresh": (s04, S04_SQL),
+    "s04_committed_refresh": (s04_store, S04_STORE_SQL),
     "s06_raw_message_text": (s06, S06_SQL),
     "s07_open_mail": (s07, S07_SQL),
     "s08_licence_state": (s08, f"WITH {BILLING_SQL} SELECT * FROM state"),

@@ -63,7 +63,7 @@ def enrich(scored: DataFrame, ages: DataFrame, phish: DataFrame, ts: str = "ts",
         F.col("url").alias(url), "fetched_at",
         F.when(F.col("in_database").isNotNull(), F.struct("in_database", "valid")).alias("answer"))
     df = asof_ttl_join(df, answers, url, ts, "answer", fv.PHISH_TTL_SECONDS,
-                       fv.FAILED_LOOKUP_TTL_SECONDS, "phish")
+                       fv.FAILED_LOOKUP_TTL_SECONDS, "phish", rows=border)
     young = young_domain(F.col("age_days"), F.col("claims_institution"))
     listed = F.col("phish_opt_in") & is_confirmed_phish(F.col("phish"))
     codes = bands.fired_codes((young, "young_domain"), (listed, "confirmed_phish"))

@@ -178,3 +178,11 @@ def test_term_hits_stay_with_their_row(spark, monkeypatch, local):
     got = sorted(((r.id, r.term) for r in term_join.term_hits(texts, "id", "text", terms).collect()), key=repr)
     want = [(1, "tax"), (1, "é"), (1, "tax"), (1, "é"), (None, "tax"), (None, "$$$"), (3, "é")]
     assert got == sorted(want, key=repr)
+
+
+def test_enrichment_reads_its_inputs_once(spark):
+    """Rows once for each branch, each snapshot table once, and the few hot keys."""
+    from checks.page_checks import e01, e05, e06
+    for query, most in ((e01, 6), (e05, 8), (e06, 8)):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") <= most
