@@ -25,12 +25,21 @@ WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64
 _PAYLOAD = np.uint64((1 << 60) - 1)
 
 
+_SMALL = np.zeros(0, np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs, rounded up to a width; 64 where no width is enough."""
+    if len(values) > len(_SMALL) and values.max() < len(_SMALL):
+        return _SMALL[values]
     widths = np.unique(WIDTHS)
     return np.append(widths, 64).astype(np.uint8)[np.searchsorted(np.uint64(1) << widths.astype(np.uint64), values, side="right")]
 
 
+#: Of all values of 16 bits, as those of vocabularies are.
+_SMALL = _bits(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of every block, escaped values); all blocks advance in step.
 
@@ -41,7 +50,9 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     blocks = -(-n // block)
     row = block + int(COUNTS.max())
     padded = np.zeros((blocks, row), np.uint64)
-    padded[np.arange(n) // block, np.arange(n) % block] = values
+    whole = n // block
+    padded[:whole, :block] = values[:whole * block].reshape(whole, block)
+    padded[whole:, :n - whole * block] = values[whole * block:]
     padded = padded.reshape(-1)
     need = _bits(padded)
     base = np.arange(blocks) * row
@@ -86,7 +97,7 @@ def unpack(words: np.ndarray, first: np.ndarray, escaped: np.ndarray, n: int, bl
     held = COUNTS[selector]
     before = np.cumsum(held) - held
     # a block's last word may have room for more values than are left
-    owner = np.searchsorted(first, np.arange(len(words)), side="right") - 1
+    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
     start = owner * block + before - before[first[owner]] if len(words) else before
     stop = np.minimum((owner + 1) * block, n)
     values = np.zeros(n, np.uint64)
