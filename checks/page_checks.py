@@ -325,12 +325,17 @@ FROM scored s LEFT JOIN en USING (event_id)"""
 CLAIMS = _PLAIN[0].name
 
 
-def e06(spark, sf):
-    """Page events end to end, at hours after the first snapshots."""
+def page_times(pages):
+    """Pages as events at hours after the first snapshots."""
     k = F.col("page_id")
-    pages = table(spark, sf, "pages").select(
+    return pages.select(
         "page_id", "url", F.expr("timestamp'2024-01-03 00:00:00' + make_dt_interval(0, CAST(page_id % 240 AS INT))").alias("ts"),
         (k % 3 != 0).alias("entitled"), (k % 2 == 0).alias("phish_opt_in"))
+
+
+def e06(spark, sf):
+    """Page events end to end."""
+    pages = page_times(table(spark, sf, "pages"))
     urls = score_urls(pages, seeds.allow_list(spark), seeds.block_list(spark), _C, keep_flags=True)
     out = page_events(urls, _scored(spark, sf), "page_id", host_ages(spark, sf), phish_snapshots(spark, sf),
                       _sens("page_id"), CLAIMS)
