@@ -17,7 +17,7 @@ from phishlake.plans.url_job import score_urls
 from phishlake.sources import list_store
 from phishlake.sources.feeds import build_known_bad, next_version
 from phishlake.sources.html_features import extract_mail
-from phishlake.sources.lists import list_diff, load_list, refresh_plan, validate_lists
+from phishlake.sources.lists import list_diff, load_list, numbered, refresh_plan, validate_lists, write_list
 from phishlake.sources.sinks import fp_reports, write_verdicts
 from phishlake.sources.workdir import work_dir
 
@@ -37,14 +37,11 @@ bad AS (SELECT host FROM feed WHERE host IS NOT NULL GROUP BY host)"""
 
 
 def s01(spark, sf):
-    """Write the built list as a list file, then load it through the fall-back chain."""
-    hosts = build_known_bad(_feed(spark, sf))
-    body = hosts.agg(F.sort_array(F.collect_list("host")).alias("domains")).select(
-        F.to_json(F.struct(F.lit("1.0.1").alias("version"), "domains")).alias("value"))
+    """Write the built list in shards, then load it through the fall-back chain."""
     base = work_dir(spark, "lists")
-    body.coalesce(1).write.text(f"{base}/known_bad.json")
-    return load_list(spark, "known_bad", f"{base}/missing", base).select(
-        F.col("ord").cast("int").alias("ord"), "domain")
+    hosts = numbered(build_known_bad(_feed(spark, sf)).select("host"), "host")
+    write_list(hosts.select("ord", F.col("host").alias("entry")), "known_bad", "1.0.1", base, shard=20)
+    return load_list(spark, "known_bad", f"{base}/missing", base)
 
 
 def s02(spark, sf):

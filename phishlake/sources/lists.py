@@ -6,12 +6,14 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from phishlake import fixed_values as fv
 from phishlake.functions.hosts import list_entry, list_entry_is_valid
 from phishlake.operators.lookups import ListTable, last_per_domain
+from phishlake.sources.workdir import materialised
 
 # top-level JSON shape of each list file
 FILE_SCHEMAS = {
@@ -35,20 +37,62 @@ ENTRY_COLUMN = {
 }
 
 
+#: Entries of one line of a list in shards.
+SHARD_ENTRIES = 10_000
+
+
 def load_file(spark: SparkSession, name: str, live_dir: str | None,
               bundled_dir: str | None) -> DataFrame:
-    """The list file: live copy, else bundled copy, else an empty frame."""
+    """The list file: live copy, else bundled copy, else an empty frame.
+
+    ``name.json`` is one document; a long list is ``name.jsonl``, a folder of lines that are
+    documents with a part of the entries each and the position of the ``first`` of them.
+    """
     for folder in (live_dir, bundled_dir):
-        if not folder:
-            continue
-        path = f"{folder.rstrip('/')}/{name}.json"
-        try:
-            df = spark.read.schema(FILE_SCHEMAS[name]).option("multiLine", True).json(path)
-            if df.filter(F.col(ENTRY_COLUMN[name]).isNotNull()).limit(1).count():
-                return df
-        except AnalysisException:
-            continue
-    return spark.createDataFrame([], FILE_SCHEMAS[name])
+        if folder:
+            base = f"{folder.rstrip('/')}/{name}"
+            for path, whole in ((f"{base}.jsonl", False), (f"{base}.json", True)):
+                df = _read_file(spark, name, path, whole)
+                if df is not None:
+                    return df
+    return spark.createDataFrame([], f"{FILE_SCHEMAS[name]}, first long")
+
+
+def _read_file(spark: SparkSession, name: str, path: str, whole: bool) -> DataFrame | None:
+    """None for a file that is not there or holds no entries."""
+    try:
+        df = spark.read.schema(f"{FILE_SCHEMAS[name]}, first long").option("multiLine", whole).json(path)
+        if df.filter(F.col(ENTRY_COLUMN[name]).isNotNull()).limit(1).count():
+            return df
+    except AnalysisException:
+        pass
+    return None
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Add ``ord``, the position in ``order`` (columns that tell all rows apart), without one task that sees all rows.
+
+    Rows are dealt to ranges and numbered in each; a range's offset is the sum of the counts before it,
+    one number per task.
+    """
+    dealt = materialised(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    offsets, total = [], 0
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("_range").count().collect()):
+        offsets.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(offsets), "_range").withColumn("ord", F.col("_before") + inside).drop("_range", "_before")
+
+
+def write_list(entries: DataFrame, name: str, version: str, folder: str, shard: int = SHARD_ENTRIES) -> None:
+    """Write (ord, entry) rows as a list in shards that ``load_list`` reads."""
+    number = F.floor(F.col("ord") / shard).alias("_shard")
+    lines = entries.groupBy(number).agg(F.sort_array(F.collect_list(F.struct("ord", "entry"))).alias("e")).select(
+        F.to_json(F.struct(
+            F.lit(version).alias("version"), F.col("e")[0]["ord"].alias("first"),
+            F.transform("e", lambda x: x["entry"]).alias(ENTRY_COLUMN[name]))).alias("value"))
+    lines.write.text(f"{folder.rstrip('/')}/{name}.jsonl")
 
 
 def load_list(spark: SparkSession, name: str, live_dir: str | None = None,
@@ -57,14 +101,20 @@ def load_list(spark: SparkSession, name: str, live_dir: str | None = None,
     df = load_file(spark, name, live_dir, bundled_dir)
     entry = ENTRY_COLUMN[name]
     if name == "keyword_categories":
-        return df.select(F.posexplode(F.map_entries(entry)).alias("ord", "e")).select(
+        return _placed(df, F.map_entries(entry)).select(
             "ord", F.col("e.key").alias("category"), "e.value.*")
-    out = df.select(F.posexplode(entry).alias("ord", "e"))
+    out = _placed(df, F.col(entry))
     if name == "known_bad":
         return out.select("ord", F.lower("e").alias("domain"))
     return out.select("ord", "e.*")
 
 
+def _placed(df: DataFrame, entries: Column) -> DataFrame:
+    """(ord, e): every entry of every document with its position in the list."""
+    return df.select("first", F.posexplode(entries).alias("pos", "e")).select(
+        (F.coalesce("first", F.lit(0)) + F.col("pos")).cast("int").alias("ord"), "e")
+
+
 def allow_table(df: DataFrame, **bounds) -> ListTable:
     """Allow-list as a lookup table: lower-cased, last duplicate kept."""
     cols = df.select(

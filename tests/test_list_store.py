@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from phishlake.sources import list_store
+from phishlake.sources.lists import load_list, numbered, write_list
 
 
 def rows(spark, *lists):
@@ -73,3 +74,15 @@ def test_nothing_to_take(spark, tmp_path):
     base = str(tmp_path / "lists")
     list_store.refresh(spark, base, rows(spark, ("a", "1", [None])), F.col("entry").isNull())
     assert held(spark, base) == {} and list_store.manifest(spark, base).count() == 0
+
+
+def test_long_lists_are_numbered_and_read_in_shards(spark, tmp_path):
+    hosts = spark.range(3000).select(F.concat(F.lit("Host"), F.format_string("%05d", (F.col("id") * 7919) % 3000)).alias("host"))
+    placed = numbered(hosts.repartition(7), "host")
+    want = [(i, f"Host{i:05}") for i in range(3000)]
+    assert [(r.ord, r.host) for r in placed.orderBy("ord").collect()] == want
+    write_list(placed.select("ord", F.col("host").alias("entry")), "known_bad", "3", str(tmp_path), shard=100)
+    read = load_list(spark, "known_bad", str(tmp_path / "missing"), str(tmp_path))
+    assert [(r.ord, r.domain) for r in read.orderBy("ord").collect()] == [(i, h.lower()) for i, h in want]
+    assert spark.read.text(str(tmp_path / "known_bad.jsonl")).count() == 30
+    assert numbered(hosts.where("false"), "host").count() == 0
