@@ -8,6 +8,7 @@ shuffle, only the columns it needs).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -59,6 +60,8 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     parent: "Node | None" = None
     children: list = field(default_factory=list)
+    #: The innermost label that the element lies in, itself not counted.
+    label: "Node | None" = None
 
     def walk(self) -> Iterator["Node"]:
         stack = [self]
@@ -159,7 +162,7 @@ def parse_html(html: str) -> Node:
     """A forgiving element tree: enough for text, attributes and ancestors."""
     root = Node("#root")
     top, at, n = root, 0, len(html)
-    scanner, unclosed = _Scanner(html), set()
+    scanner, unclosed, opened = _Scanner(html), set(), Counter()
     while at < n:
         m = scanner.next(at)
         if m is None:
@@ -173,15 +176,17 @@ def parse_html(html: str) -> Node:
             continue
         tag = tag.lower()
         if closing:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if opened[tag]:  # a stray end changes nothing and climbs nowhere
+                while top.tag != tag:
+                    opened[top.tag] -= 1
+                    top = top.parent
+                opened[tag] -= 1
+                top = top.parent
             continue
         if tag in ("p", "li", "option") and top.tag == tag:
+            opened[tag] -= 1
             top = top.parent
-        node = Node(tag, _attrs(attributes), top)
+        node = Node(tag, _attrs(attributes), top, label=top if top.tag == "label" else top.label)
         top.children.append(node)
         if tag in _VOID or attributes.endswith("/"):
             continue
@@ -194,6 +199,7 @@ def parse_html(html: str) -> Node:
             node.children.append(unescape(raw) if tag in ("title", "textarea") else raw)
             at = end.end() if end else n
         else:
+            opened[tag] += 1
             top = node
     return root
 
@@ -216,17 +222,20 @@ def _fields(nodes: list[Node], limits: Limits) -> list[dict]:
     for x in nodes:
         if x.tag == "label" and x.attrs.get("for"):
             labels.setdefault(x.attrs["for"], x)
+    texts: dict[int, str] = {}
+
+    def text_of(label: Node | None) -> str:
+        if label is None:
+            return ""
+        if id(label) not in texts:
+            texts[id(label)] = label.text_content()
+        return texts[id(label)]
+
     out = []
     # a limit counts every field; those without any descriptor are dropped after
     for x in [x for x in nodes if x.tag in _FIELDS][:limits.fields]:
         a = x.attrs
-        label = labels[a["id"]].text_content() if a.get("id") in labels else ""
-        up = x.parent
-        while not label and up is not None:
-            if up.tag == "label":
-                label = up.text_content()
-                break
-            up = up.parent
+        label = text_of(labels.get(a.get("id"))) or text_of(x.label)
         row = {
             "name": a.get("name", ""), "id": a.get("id", ""),
             "placeholder": a.get("placeholder", "") if x.tag != "select" else "",

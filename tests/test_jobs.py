@@ -1,5 +1,7 @@
 """Whole verdicts on small inputs of our own."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,20 @@ def test_page_fields(spark):
     assert page(spark, fields=None).content_score == 0
 
 
+def test_hostile_nesting_is_read_in_linear_time():
+    """Stray ends, deep nesting and one label around many fields: ten times the page, about ten times the time."""
+    def took(n):
+        pages = ("<div>" * n + "</span>" * n, "<div>" * n + "<input name=a>" * n, "<label>all" + "<b>x</b>" * n + "<input name=a>" * n)
+        start = time.process_time()
+        fields = [len(page_features(p)["fields"]) for p in pages]
+        assert fields == [0, n, n]
+        return time.process_time() - start
+    took(500)
+    assert took(10_000) < 40 * took(1_000) + 0.5
+    f = page_features("<label>L<p><b>x</label><input id=1><label for=1>one</label></p><label></i>in<span><input name=q></span></label></b>")
+    assert [(x["id"], x["label_text"]) for x in f["fields"]] == [("1", "one"), ("", "in")]
+
+
 def test_page_features_of_html():
     f = page_features('<html><head><title> A &amp;\n B </title><meta name="description" content="M"></head><body>'
                       '<p>one<script>x<p></script> two<p>three<br>four<label for=q>Your <i>code</i></label>'
