@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -450,6 +451,15 @@ def test_blocks_keep_articles_of_common_markup():
     assert plain == [("One", 1), ("Two", 1)]
 
 
+def test_blocks_of_table_cells_and_of_many_quotes():
+    table = "<article><table><caption>Sizes</caption><tr><th>a</th><th>b</th></tr><tr><td>one</td><td>two <b>x</b></td></tr></table></article>"
+    assert [t for t, _ in blocks(table)] == ["Sizes", "a", "b", "one", "two x"]
+    quoted = '<p class="x">y</p>' * 150_000  # 2.7 MB: minutes, if the page were copied for each quote
+    start = time.process_time()
+    assert len(blocks(quoted)) == 150_000
+    assert time.process_time() - start < 30
+
+
 def test_jaccard_blocks_are_bounded_in_texts(spark, monkeypatch):
     """Many short texts are few shingles, but the matrices of a block grow with its texts."""
     members = spark.range(15_000).select(F.lit(1).alias("group"), F.lit(26).alias("size")).unionByName(
