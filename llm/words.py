@@ -1,7 +1,9 @@
 """Words of Arrow text columns as numpy arrays: bounds and 64-bit hashes, no per-word Python.
 
-A word is a run of bytes other than the six ASCII white space bytes. Hashes are polynomial
-over random byte codes modulo 2**64 (prefix sums, so any span costs two lookups) and mixed.
+A word is a run of bytes other than the six ASCII white space bytes. Its hash sums, over its blocks
+of eight bytes, a mixed value of block and place, and mixes the sum with the length: unlike a
+polynomial modulo 2**64 this leaves no words that are built to be equal under every base. A word
+costs memory per block, not per byte.
 """
 
 from __future__ import annotations
@@ -9,25 +11,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = np.uint64(pow(_BASE, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Also every ASCII character that is no letter or digit: for vocabularies without punctuation.
 PUNCTUATED = _SPACE.copy()
 PUNCTUATED[[b for b in range(128) if not chr(b).isalnum()]] = True
-_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for i, base in enumerate((np.uint64(_BASE), _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _tables[i] = np.multiply.accumulate(steps)
-    return _tables[0], _tables[1]
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+#: The n lowest bytes of a block, for n from 0 to 8.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,16 +57,26 @@ class Words:
         ends[cut[cut > 0] - 1] |= inside[1:-1][cut[cut > 0] - 1]
         self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, bounds)
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[flat] * power[:n], out=total[1:])
-        self._total, self._inverse = total, inverse
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = flat
+        self._blocks = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from any place
         self.hash = self.bytes_hash(self.starts, self.ends)
 
     def bytes_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of every byte range; equal bytes give equal hashes."""
-        raw = (self._total[ends] - self._total[starts]) * self._inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64))
+        size = ends - starts
+        total = mix((self._blocks[starts] & _LOW[np.minimum(size, 8)]) ^ _PLACE)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) >> 3  # blocks after the first
+            stops = np.cumsum(more)
+            begin = stops - more
+            place = np.arange(1, stops[-1] + 1) - np.repeat(begin, more)
+            owner = np.repeat(long, more)
+            left = np.minimum(size[owner] - 8 * place, 8)
+            block = self._blocks[starts[owner] + 8 * place] & _LOW[left]
+            total[long] += np.add.reduceat(mix(block ^ mix(place.astype(np.uint64) + _PLACE)), begin)
+        return mix(total + size.astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.starts)

@@ -31,6 +31,19 @@ def test_words_equal_pattern(some):
     assert len(set(by_word.values())) == len(by_word)
 
 
+def test_hash_of_crafted_words():
+    """Thue-Morse words are equal under every polynomial modulo 2**64; also shifted, swapped and padded blocks."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    crafted = [word, word.translate(str.maketrans("ab", "ba"))]
+    crafted += ["abcdefgh" * n for n in range(1, 6)] + ["abcdefgh" * n + "a" for n in range(5)]
+    crafted += ["abcdefghABCDEFGH", "ABCDEFGHabcdefgh", "abcdefgh" + "\0" * 8, "abcdefgh" + "\0" * 7, "a\0", "a\0\0"]
+    assert len(set(of_column(pa.array(crafted)).hash.tolist())) == len(crafted)
+    text = " ".join(crafted)
+    assert of_column(pa.array([text])).hash.tolist() == of_column(pa.array(crafted)).hash.tolist()
+
+
 @settings(max_examples=100, deadline=None)
 @given(texts)
 def test_joined_keeps_words(some):

@@ -484,3 +484,20 @@ def test_all_trusted_texts_count(spark):
     assert got[0] == got[1]
     ratio = {r[0]: r[7] for r in got[0]}
     assert min(ratio[i] for i in (-1, 1, 9, 2**40)) > 0 > ratio[8]
+
+
+def _thue_morse(size):
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_crafted_words_are_not_equal(spark):
+    """Two words that a polynomial hash modulo 2**64 holds for one."""
+    x, y = _thue_morse(1024)
+    start = " ".join(f"w{i}" for i in range(12))
+    frame = spark.createDataFrame([(1, f"{start} {x}"), (2, f"{start} {y}"), (3, f"{start} {x}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_substrings(frame).collect()} == {1: 0, 2: 0, 3: 13}
+    single = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates(single).collect()} == {(1, 1, 1), (2, 2, 0), (3, 1, 1)}
