@@ -24,15 +24,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.frames import with_twin
+from llm.frames import materialised, with_twin
 from llm.words import Words, joined, mix, sliced, spans, text_bytes, whole_spans
 
-WIDTH = 8  # bytes of a window's hash that travel: all; its minimizer's 64 bits come on top
 SLICE = 600_000  # bytes of text that are windowed at once, about
 HOT_WINDOWS = 250_000  # windows that one anchor holds, about; more are split by their hash
-_EDGES = "anchor long, doc long, place long, windows binary, more binary"
+MOST_BINS = 1 << 22  # bins of anchors that a task counts at most
+_EDGES = "edge binary"
 _PATHS = "doc long, twin int, at int, n int, src_doc long, src_at int"
-_MORE = np.dtype([("doc", "<i8"), ("place", "<i8")])
+
+
+class Layout:
+    """Bytes of an edge row: anchor, document, place (big-endian, so they sort), whether others ride along,
+    windows, then the riders' documents and places and their number.
+
+    Documents count from the smallest id in as many bytes as the range of ids asks for; a place is a
+    word number, behind the number of the twin where ids repeat.
+    """
+
+    ANCHOR, WINDOW, COUNT = 4, 8, 4
+
+    def __init__(self, least: int, most: int, twins: bool):
+        self.least = least
+        self.doc = max(1, ((most - least).bit_length() + 7) // 8)
+        self.place = 8 if twins else 4
+        self.rider = self.doc + self.place
+        self.head = self.ANCHOR + self.rider + 1
+
+    def where(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rows of bytes of documents and places."""
+        from_least = doc.view(np.uint64) - np.uint64(self.least % 2**64)  # wraps: right for any two ids
+        return np.concatenate([_big(from_least, self.doc), _big(place, self.place)], 1)
+
+    def doc_place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc = _from_big(rows[:, :self.doc]).view(np.uint64) + np.uint64(self.least % 2**64)
+        return doc.view(np.int64), _from_big(rows[:, self.doc:])
+
+
+def _big(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:]
+
+
+def _from_big(rows: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(rows), 8), np.uint8)
+    whole[:, 8 - rows.shape[1]:] = rows
+    return whole.view(">u8").ravel().astype(np.int64)
+
+
+def _span(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin .. begin + size - 1 of every entry, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
 def _slide_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -64,16 +106,19 @@ def _anchor_bins(texts: DataFrame, k: int, seed: int, bins: int) -> DataFrame:
 
 
 def hot_anchors(docs: DataFrame, k: int, seed: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bins, hot bins in order, parts of each): bins of anchors with over ``HOT_WINDOWS`` windows.
+    """(bins, hot bins in order, parts of each): bins of anchors with too many windows.
 
-    The bins grow with the rows, so that only frequent anchors lift one over the limit; there is
-    at most one hot bin per ``HOT_WINDOWS`` windows.
+    The bins grow with the rows up to ``MOST_BINS``, so that only frequent anchors lift one over the
+    limit: ``HOT_WINDOWS``, or eight times the mean of all bins. So at most an eighth of the bins is hot,
+    and what the driver reads and sends is bounded whatever the input.
     """
     known = docs.where("doc is not null")
-    bins = 1 << max(16, (known.count() // 64).bit_length())
-    hot = _anchor_bins(known, k, seed, bins).groupBy("bin").agg(F.sum("n").alias("n")).where(
-        F.col("n") > HOT_WINDOWS).orderBy("bin").collect()
-    return bins, np.array([r.bin for r in hot], np.int64), np.array([-(-r.n // HOT_WINDOWS) for r in hot], np.uint64)
+    bins = min(MOST_BINS, 1 << max(16, (known.count() // 64).bit_length()))
+    counts = materialised(_anchor_bins(known, k, seed, bins).groupBy("bin").agg(F.sum("n").alias("n")), "anchors")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(HOT_WINDOWS, 8 * total // bins)
+    hot = counts.where(F.col("n") > limit).orderBy("bin").collect()
+    return bins, np.array([r.bin for r in hot], np.int64), np.array([-(-r.n // limit) for r in hot], np.uint64)
 
 
 def _split(low: np.ndarray, hashes: np.ndarray, hot) -> np.ndarray:
@@ -89,7 +134,7 @@ def _split(low: np.ndarray, hashes: np.ndarray, hot) -> np.ndarray:
     return low
 
 
-def _edges_of(batch: pa.RecordBatch, k: int, seed: int, hot=None) -> pa.RecordBatch | None:
+def _edges_of(batch: pa.RecordBatch, k: int, seed: int, layout: Layout, hot=None) -> pa.RecordBatch | None:
     """Runs of windows with one anchor; equal runs of a slice become one row."""
     batch = batch.filter(batch.column("doc").is_valid())
     if not batch.num_rows:
@@ -107,7 +152,7 @@ def _edges_of(batch: pa.RecordBatch, k: int, seed: int, hot=None) -> pa.RecordBa
         return None
     run = np.cumsum(head)[ok] - 1
     size = np.bincount(run, minlength=len(start))
-    packed = hashes[ok].astype("<u8").view(np.uint8).reshape(-1, WIDTH)
+    packed = hashes[ok].astype("<u8").view(np.uint8).reshape(-1, 8)
     owner = words.doc_of()[start]
     doc = batch.column("doc").to_numpy()[owner]
     twin = batch.column("twin").to_numpy()[owner].astype(np.int64)
@@ -123,37 +168,50 @@ def _edges_of(batch: pa.RecordBatch, k: int, seed: int, hot=None) -> pa.RecordBa
     lead = np.concatenate([[True], same[order][1:] != same[order][:-1]])
     heads = order[lead]
     riders, host = order[~lead], (np.cumsum(lead) - 1)[~lead]
-    more = np.empty(len(riders), _MORE)
-    more["doc"], more["place"] = doc[riders], place[riders]
-    more_ends = np.concatenate([[0], np.cumsum(np.bincount(host, minlength=len(heads)))]) * _MORE.itemsize
-    take = np.repeat(ends[heads] - np.concatenate([[0], np.cumsum(size[heads])[:-1]]), size[heads])
-    body = packed[take + np.arange(len(take))]
-    body_ends = np.concatenate([[0], np.cumsum(size[heads])]) * WIDTH
-
-    def binary(bounds, data):
-        return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [
-            None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(anchor[heads].view(np.int64)), pa.array(doc[heads]), pa.array(place[heads]),
-         binary(body_ends, body), binary(more_ends, more)],
-        ["anchor", "doc", "place", "windows", "more"])
-
-
-def edges(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """(anchor, doc, place, windows, more) of columns doc, twin, text."""
+    held = np.bincount(host, minlength=len(heads))
+    rode = held > 0
+    body = size[heads] * layout.WINDOW
+    row_ends = np.concatenate([[0], np.cumsum(
+        layout.head + body + np.where(rode, held * layout.rider + layout.COUNT, 0))])
+    begin = row_ends[:-1]
+    flat = np.zeros(row_ends[-1], np.uint8)
+    width = np.arange(layout.head)
+    flat[begin[:, None] + width] = np.concatenate([
+        _big(anchor[heads] >> np.uint64(32), layout.ANCHOR), layout.where(doc[heads], place[heads]),
+        rode.astype(np.uint8)[:, None]], 1)
+    windows = _span(ends[heads], size[heads])
+    at = begin + layout.head
+    flat[_span(at, body)] = packed[windows].ravel()
+    at = at + body
+    flat[_span(at, held * layout.rider)] = layout.where(doc[riders], place[riders]).ravel()
+    at = (at + held * layout.rider)[rode]
+    flat[at[:, None] + np.arange(layout.COUNT)] = _big(held[rode], layout.COUNT)
+    edge = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(heads), [
+        None, pa.py_buffer(row_ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([edge], ["edge"])
+
+
+def layout_of(docs: DataFrame) -> Layout:
+    least, most, twin = docs.agg(F.min("doc"), F.max("doc"), F.max("twin")).first()
+    return Layout(least or 0, most or 0, bool(twin))
+
+
+def edges(docs: DataFrame, k: int, seed: int, layout: Layout) -> DataFrame:
+    """Edge rows of columns doc, twin, text."""
     shared = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, k, seed))
 
     def run(batches):
         hot = shared.value
         for batch in batches:
             for part in sliced(batch, "text", SLICE):
-                out = _edges_of(part, k, seed, hot)
+                out = _edges_of(part, k, seed, layout, hot)
                 if out is not None:
                     yield out
     return docs.select("doc", "twin", "text").mapInArrow(run, _EDGES)
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, size of every entry)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     _, ends, data = column.cast(pa.large_binary()).buffers()
     bounds = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1]
@@ -194,43 +252,51 @@ def _paths_of(doc, place, row, step, src_doc, src_place) -> pa.RecordBatch:
         ["doc", "twin", "at", "n", "src_doc", "src_at"])
 
 
-def _local_paths(batches):
+def _local_paths(layout: Layout):
     """Rows come sorted by anchor and document, so the first equal window is the source.
 
     Between batches only the distinct windows of the anchor still open are held.
     """
-    none = np.zeros(0, np.uint64)
-    held = (none, none, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        anchors = batch.column("anchor").to_numpy().view(np.uint64)
-        docs, places = batch.column("doc").to_numpy(), batch.column("place").to_numpy()
-        body, size = _binary(batch.column("windows"))
-        size = size // WIDTH
-        row = np.repeat(np.arange(batch.num_rows), size)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        n_held = len(held[0]) if len(held[0]) and held[0][0] == anchors[0] else 0
-        held = tuple(x[:n_held] for x in held)
-        anchor = np.concatenate([held[0], anchors[row]])
-        window = np.concatenate([held[1], body.view("<u8")])
-        doc = np.concatenate([held[2], docs[row]])
-        place = np.concatenate([held[3], places[row] + step])
-        first = _first_of(anchor, window)
-        src = first[n_held:]
-        yield _paths_of(docs[row], place[n_held:], row, step, doc[src], place[src])
-        more, riders = _binary(batch.column("more"))
-        riders = riders // _MORE.itemsize
-        if riders.sum():
-            more = more.view(_MORE)
-            host = np.repeat(np.arange(len(riders)), riders)
-            begin = (np.cumsum(size) - size)[host]
-            entry = np.repeat(np.arange(len(host)), size[host])
-            at = np.arange(len(entry)) - np.repeat(np.cumsum(size[host]) - size[host], size[host])
-            source = src[np.repeat(begin, size[host]) + at]
-            yield _paths_of(more["doc"][entry], more["place"][entry] + at, entry, at, doc[source], place[source])
-        open_now = np.flatnonzero((anchor == anchors[-1]) & (first == np.arange(len(first))))
-        held = tuple(x[open_now] for x in (anchor, window, doc, place))
+    def run(batches):
+        none = np.zeros(0, np.uint64)
+        held = (none, none, np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, size = _binary(batch.column("edge"))
+            begin = np.cumsum(size) - size
+            head = flat[begin[:, None] + np.arange(layout.head)]
+            anchors = _from_big(head[:, :layout.ANCHOR]).view(np.uint64)
+            docs, places = layout.doc_place(head[:, layout.ANCHOR:-1])
+            rode = np.flatnonzero(head[:, -1])
+            last = (begin + size)[rode]
+            riders = np.zeros(len(size), np.int64)
+            riders[rode] = _from_big(flat[(last - layout.COUNT)[:, None] + np.arange(layout.COUNT)])
+            body = size - layout.head - riders * layout.rider
+            body[rode] -= layout.COUNT
+            size = body // layout.WINDOW
+            row = np.repeat(np.arange(len(size)), size)
+            step = _span(np.zeros(len(size), np.int64), size)
+            n_held = len(held[0]) if len(held[0]) and held[0][0] == anchors[0] else 0
+            held = tuple(x[:n_held] for x in held)
+            anchor = np.concatenate([held[0], anchors[row]])
+            window = np.concatenate([held[1], flat[_span(begin + layout.head, body)].view("<u8")])
+            doc = np.concatenate([held[2], docs[row]])
+            place = np.concatenate([held[3], places[row] + step])
+            first = _first_of(anchor, window)
+            src = first[n_held:]
+            yield _paths_of(docs[row], place[n_held:], row, step, doc[src], place[src])
+            if len(rode):
+                more = flat[_span(begin + layout.head + body, riders * layout.rider)].reshape(-1, layout.rider)
+                more_doc, more_place = layout.doc_place(more)
+                host = np.repeat(np.arange(len(riders)), riders)
+                entry = np.repeat(np.arange(len(host)), size[host])
+                at = _span(np.zeros(len(host), np.int64), size[host])
+                source = src[_span((np.cumsum(size) - size)[host], size[host])]
+                yield _paths_of(more_doc[entry], more_place[entry] + at, entry, at, doc[source], place[source])
+            open_now = np.flatnonzero((anchor == anchors[-1]) & (first == np.arange(len(first))))
+            held = tuple(x[open_now] for x in (anchor, window, doc, place))
+    return run
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, seed: int = 4) -> DataFrame:
@@ -239,9 +305,11 @@ def repeated_spans(docs: DataFrame, k: int = 13, seed: int = 4) -> DataFrame:
     Columns doc, twin, at (first window's word), n (windows), src_doc, src_at: words
     at .. at+n+k-2 equal those from src_at in src_doc.
     """
+    layout = layout_of(docs)
+    anchor = F.substring("edge", 1, Layout.ANCHOR)
     local = (
-        edges(docs, k, seed).repartition("anchor").sortWithinPartitions("anchor", "doc", "place")
-        .mapInArrow(_local_paths, _PATHS)
+        edges(docs, k, seed, layout).repartition(anchor).sortWithinPartitions("edge")
+        .mapInArrow(_local_paths(layout), _PATHS)
     )
     by_doc = W.partitionBy("doc", "twin").orderBy("at")
     before = F.lag(F.struct("at", "n", "src_doc", "src_at")).over(by_doc)

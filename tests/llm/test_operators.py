@@ -22,7 +22,7 @@ from llm.html_extraction import common_lines, main_texts
 from llm.ngram_jaccard_join import block_counts, near_duplicates
 from llm.page_blocks import blocks
 from llm.quality_rules import judge
-from llm.substring_dedup import dedup_substrings, edges, repeated_spans
+from llm.substring_dedup import dedup_substrings, edges, layout_of, repeated_spans
 from llm.words import of_column, spans
 
 SF = "/root/testdata/sf0.001"
@@ -416,7 +416,9 @@ def test_hot_minimizer_is_split(spark, monkeypatch):
     assert sum(r[2] > 0 for r in want) == 40
     assert sorted(tuple(r) for r in got) == want
     named = frame.select(F.col("doc_id").alias("doc"), F.lit(0).alias("twin"), "text")
-    held = edges(named, 13, 4).groupBy("anchor").agg(F.sum(F.octet_length("windows") / 8).alias("n"))
+    layout = layout_of(named)  # no riders here: a row is its head and its windows
+    held = edges(named, 13, 4, layout).groupBy(F.substring("edge", 1, 4).alias("anchor")).agg(
+        F.sum((F.octet_length("edge") - layout.head) / 8).alias("n"))
     assert held.agg(F.max("n")).first()[0] < 600  # of over 3,000
 
 
@@ -501,3 +503,11 @@ def test_crafted_words_are_not_equal(spark):
     assert {r.doc_id: r.n_removed for r in dedup_substrings(frame).collect()} == {1: 0, 2: 0, 3: 13}
     single = spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")
     assert {tuple(r) for r in near_duplicates(single).collect()} == {(1, 1, 1), (2, 2, 0), (3, 1, 1)}
+
+
+def test_ids_of_any_range(spark):
+    """Edge rows hold ids in as few bytes as their range needs."""
+    text = " ".join(f"w{i}" for i in range(40))
+    for ids in ([-2**63, -1, 0, 2**63 - 1], [5], [-300, -44], [2**40, 2**40 + 255, 2**40 + 256]):
+        frame = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").repartition(3)
+        assert {r.doc_id: r.n_removed for r in dedup_substrings(frame).collect()} == {i: 40 * (i > ids[0]) for i in ids}
