@@ -7,7 +7,8 @@ under which more than ``HOT_WINDOWS`` different windows may meet is split by the
 so equal edges still meet but no minimizer is one task. There,
 edges that an earlier document also has are compacted into local paths that advance in step with
 their source coordinates; a Spark window over each document glues local paths into maximal
-repeated spans, and a join on the document applies them to the text.
+repeated spans, and a join on the document applies them to the text. Edges travel as packed rows, texts
+compressed.
 
 Defined cases: a null text has no words; a document with a null id is never reduced and counts as
 nobody's source; equal ids never reduce each other, whatever their texts; repeated rows give
@@ -19,13 +20,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm.frames import materialised, with_twin
-from llm.words import Words, joined, mix, sliced, spans, text_bytes, whole_spans
+from llm.words import Words, by_size, joined, mix, sliced, spans, text_bytes, whole_spans
 
 SLICE = 600_000  # bytes of text that are windowed at once, about
 HOT_WINDOWS = 250_000  # windows that one anchor holds, about; more are split by their hash
@@ -327,10 +329,30 @@ def repeated_spans(docs: DataFrame, k: int = 13, seed: int = 4) -> DataFrame:
     )
 
 
+def _small(batches):
+    """Texts compressed one by one: half the bytes in the shuffle that meets them with their spans."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for part in sliced(batch, "text"):
+            texts = part.column("text").cast(pa.large_binary()).to_pylist()
+            at = part.schema.get_field_index("text")
+            yield part.set_column(at, "text", pa.array([None if t is None else pack(t) for t in texts], pa.binary()))
+
+
+def _plain(batch: pa.RecordBatch):
+    """Slices with their texts back, bounded by the size of the texts."""
+    sizes = [0 if t is None else zstandard.frame_content_size(t) for t in batch.column("text").to_pylist()]
+    unpack = zstandard.ZstdDecompressor().decompress
+    for part in by_size(batch, np.concatenate([[0], np.cumsum(sizes)])):
+        texts = [None if t is None else unpack(t) for t in part.column("text").to_pylist()]
+        at = part.schema.get_field_index("text")
+        yield part.set_column(at, "text", pa.array(texts, pa.large_binary()).view(pa.large_string()))
+
+
 def _cut(k: int, rejoin: bool):
     def run(batches):
         for batch in batches:
-            for part in sliced(batch, "text"):
+            for part in _plain(batch):
                 flat, bounds = text_bytes(part.column("text"))
                 words = Words(flat, bounds)
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -348,7 +370,8 @@ def _cut(k: int, rejoin: bool):
                 columns["n_removed"] = pa.array(np.diff(total).astype(np.int64))
                 kept = joined(words, flat, keep)
                 columns["kept"] = kept if rejoin else pc.if_else(
-                    pc.greater(columns["n_removed"], 0), kept, part.column("text"))
+                    pc.greater(columns["n_removed"], 0), kept.cast(pa.large_string()), part.column("text"))
+                columns["kept"] = columns["kept"].cast(pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
     return run
 
@@ -366,7 +389,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", k
     named = with_twin(named, "doc", "text")
     cuts = repeated_spans(named, k, seed).groupBy("doc", "twin").agg(
         F.collect_list(F.struct("at", "n")).alias("cuts"))
-    joined_ = named.join(cuts, ["doc", "twin"], "left").drop("twin")
+    held = T.StructType([f if f.name != "text" else T.StructField("text", T.BinaryType()) for f in named.schema])
+    joined_ = named.mapInArrow(_small, held).join(cuts, ["doc", "twin"], "left").drop("twin")
     schema = T.StructType([f for f in joined_.schema if f.name not in ("text", "cuts")])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     return joined_.mapInArrow(_cut(k, rejoin), schema).withColumnsRenamed(

@@ -115,7 +115,11 @@ def of_column(column: pa.Array) -> Words:
 
 def sliced(batch: pa.RecordBatch, text: str, most_bytes: int = 1_500_000):
     """Slices of a batch whose texts together stay near ``most_bytes`` (one text at least)."""
-    _, bounds = text_bytes(batch.column(text))
+    return by_size(batch, text_bytes(batch.column(text))[1], most_bytes)
+
+
+def by_size(batch: pa.RecordBatch, bounds: np.ndarray, most_bytes: int = 1_500_000):
+    """The same where ``bounds`` are running sums of the rows' sizes."""
     at = 0
     while at < batch.num_rows:
         to = int(np.searchsorted(bounds, bounds[at] + most_bytes, side="right")) - 1
