@@ -4,7 +4,9 @@ Toxic documents go; of each class of near duplicates the smallest id stays; word
 document has in a passage of 13 or more go; documents that hold a benchmark item go; the rest is
 encoded. A stage sees all rows its predecessor kept. All but the last return the columns of
 ``documents``; ``n_chars`` follows the text. Rows with null ids are kept by every stage; an empty
-table passes through all of them; a document whose words all go stays with an empty text.
+table passes through all of them; a document whose words all go stays with an empty text. Rows that
+repeat an id with another text are documents of their own in every stage; long texts are worked on
+whole; columns other than those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.byte_bpe import tokenize
-from llm.frames import table
+from llm.frames import table, with_twin
 from llm.ngram_jaccard_join import near_duplicates
 from llm.substring_dedup import dedup_substrings
 from llm.template_decontam import remove_contaminated
@@ -31,15 +33,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal ids are one document: its first row stays."""
-    classes = near_duplicates(docs)
-    first = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
+    """Rows of one id with different texts are documents of their own; of rows equal in id and text
+    the smallest by the other columns stays."""
     docs = docs.select(*COLUMNS)
-    known = docs.where("doc_id is not null")
-    kept = known.join(first, "doc_id", "left_semi")
-    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = near_duplicates(known).where("doc_id = class_id").select("doc_id")
+        return known.join(first, "doc_id", "left_semi").unionByName(unknown)
+    known = with_twin(known, "doc_id", "text")
+    # numbers in the order of (id, twin), so the smallest id of a class still stays
+    numbers = materialised(known.select("doc_id", "twin").distinct().orderBy("doc_id", "twin").withColumn(
+        "number", F.monotonically_increasing_id()), "numbers")
+    known = known.join(numbers, ["doc_id", "twin"]).drop("twin")
+    first = near_duplicates(known, key="number").where("number = class_id").select("number")
+    one = known.join(first, "number", "left_semi").groupBy("number").agg(
+        F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return one.select("row.*").select(*COLUMNS).unionByName(unknown)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ A piece (one match of the split pattern) is merged by a segment tree over its by
 every leaf holds the rank of the pair that starts there, every node the leftmost minimum of its
 children. A merge takes the root's pair, unlinks the right neighbour and updates the two changed
 leaves and their paths to the root. Trees of many pieces of like length are rows of one array
-and take their merges in step. Pieces seen before come from a bounded cache.
+and take their merges in step; those of few pieces are plain lists. Pieces seen before come from a
+cache bounded in bytes.
 
 Defined cases: a null text is empty and has no tokens; special tokens' strings are ordinary
-text; texts of any length pass (one long piece is one tree: logarithmic work per merge).
+text; texts of any length pass (one long piece is one tree: logarithmic work per merge); every row
+of a repeated id is encoded on its own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.chunk_cache import ENTRY_BYTES, LONGEST_KEPT
 from llm.words import sliced
 
 NO_PAIR = np.int64(2**62)
-CACHE_ENTRIES = 1_000_000
+CACHE_BYTES = 256 << 20  # both generations of the cache of pieces, about
+FEW = 32  # pieces; fewer are merged one by one
 
 
 class PairTable:
@@ -82,6 +86,7 @@ class Vocabulary:
         self.find = regex.compile(pattern).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0  # bytes that the young pieces take, about
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian unsigned 32-bit) of every piece."""
@@ -97,10 +102,64 @@ class Vocabulary:
             step = max(1, (1 << 18) >> level)
             for low in range(0, len(members), step):
                 some = members[low:low + step]
+                if len(some) < FEW:
+                    for i in some:
+                        out[i] = self._merge_one(pieces[i], 1 << level)
+                    continue
                 for i, ids in zip(some, self._merge_equal([pieces[i] for i in some], 1 << level), strict=True):
                     out[i] = ids
         return out
 
+    @functools.cached_property
+    def rank_of(self) -> dict[int, int]:
+        used = self.pairs.keys >= 0
+        return dict(zip(self.pairs.keys[used].tolist(), self.pairs.ranks[used].tolist(), strict=True))
+
+    def _merge_one(self, piece: bytes, leaves: int) -> bytes:
+        """The tree of one piece in plain lists: no array calls for each merge."""
+        n, none = len(piece), int(NO_PAIR)
+        start = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        shift = leaves.bit_length()
+        rank = self.pairs.rank(start[:-1], start[1:])
+        level = np.full(leaves, NO_PAIR, np.int64)
+        level[:n - 1] = np.where(rank < NO_PAIR, rank << shift | np.arange(n - 1), NO_PAIR)
+        levels = [level]
+        while len(level) > 1:
+            level = np.minimum(level[0::2], level[1::2])
+            levels.append(level)
+        tree = [none, *np.concatenate(levels[::-1]).tolist()]
+        ids, rank_of, mask = start.tolist(), self.rank_of, (1 << shift) - 1
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def update(at: int, value: int) -> None:
+            node = leaves + at
+            tree[node] = value
+            node >>= 1
+            while node:
+                value = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == value:
+                    return
+                tree[node] = value
+                node >>= 1
+
+        def pair(at: int, after: int) -> int:
+            found = rank_of.get(ids[at] << 32 | ids[after])
+            return none if found is None else found << shift | at
+
+        while tree[1] < none:
+            at = tree[1] & mask
+            gone = right[at]
+            ids[at] = tree[1] >> shift
+            ids[gone] = -1
+            after = right[at] = right[gone]
+            if after < n:
+                left[after] = at
+            update(gone, none)
+            update(at, pair(at, after) if after < n else none)
+            if left[at] >= 0:
+                update(left[at], pair(left[at], at))
+        return np.array([i for i in ids if i >= 0], "<u4").tobytes()
+
     def _merge_equal(self, pieces: list[bytes], leaves: int) -> list[bytes]:
         n = len(pieces)
         size = np.array([len(p) for p in pieces])
@@ -160,15 +219,21 @@ class Vocabulary:
         """Ids of every text, by a cache of pieces in two generations: pieces in use survive."""
         split = [self.find(text) for text in texts]
         fresh = set().union(*split).difference(self.young)
-        if len(self.young) + len(fresh) > CACHE_ENTRIES // 2:
-            self.old, self.young = self.young, {}
+        cost = sum(map(len, fresh)) * 2 + len(fresh) * ENTRY_BYTES
+        if self.size + cost > CACHE_BYTES // 2:
+            self.old, self.young, self.size = self.young, {}, 0
             fresh = set().union(*split)
         kept = fresh.intersection(self.old)
         self.young.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
         new = list(fresh.difference(kept))
         self.young.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
         look = self.young.__getitem__
-        return [b"".join(map(look, pieces)) for pieces in split]
+        out = [b"".join(map(look, pieces)) for pieces in split]
+        for piece in fresh:
+            if len(piece) > LONGEST_KEPT:
+                del self.young[piece]
+        self.size += sum(2 * len(p) + ENTRY_BYTES for p in fresh if len(p) <= LONGEST_KEPT)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))

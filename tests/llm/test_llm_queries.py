@@ -1,6 +1,7 @@
 """Registered queries of the package and the pipeline over the smallest tables, against their SQL where there is some."""
 
 import pytest
+from pyspark.sql import functions as F
 import public_tokenizers
 import tiktoken
 
@@ -41,3 +42,15 @@ def test_pipeline_passes_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialised(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    other = "quite another text with nothing in common but the number it came under in the table of all the texts"
+    same = "one text that stands in the table twice under one number and once more under a larger number than that"
+    rows = [(2, same, "en", "b", 1), (2, other, "en", "a", 1), (2, same, "en", "a", 1), (7, same, "en", "a", 1),
+            (1, None, None, None, None), (1, "", "en", "a", 0), (None, same, "en", "a", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("number", F.lit(1))
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, SF)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [r for r in rows if r not in ((2, same, "en", "b", 1), (7, same, "en", "a", 1))]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))

@@ -150,13 +150,33 @@ def test_byte_bpe_equals_library(spark, corpus, docs):
 
 
 def test_bpe_cache_generations(monkeypatch):
-    monkeypatch.setattr("llm.byte_bpe.CACHE_ENTRIES", 8)
+    monkeypatch.setattr("llm.byte_bpe.CACHE_BYTES", 4_200)  # some eight pieces a generation
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         vocabulary = Vocabulary(file.read(), public_tokenizers.PATTERN)
     for i in range(6):
         texts = [f"alpha{i} beta gamma{i % 2}", "beta alpha0"]
         assert [vocabulary.decode(x).decode() for x in vocabulary.encode(texts)] == texts
     assert len(vocabulary.young) <= 16
+    long = ["x" * 600, "y" * 600]
+    assert [vocabulary.decode(x).decode() for x in vocabulary.encode(long)] == long
+    assert not set(long) & set(vocabulary.young) and vocabulary.size <= 4_200
+
+
+def test_bpe_of_one_long_piece():
+    """A piece of 300 KB, as one tree; its merges are those of the vectorised trees."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        vocabulary = Vocabulary(file.read(), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    random.seed(6)
+    piece = "".join(random.choice("etaoinshr") for _ in range(300_000))
+    start = time.process_time()
+    ids = np.frombuffer(vocabulary.encode([piece])[0], "<u4")
+    assert time.process_time() - start < 60
+    assert vocabulary.decode(ids.tobytes()).decode() == piece
+    short = piece[:3_000]
+    assert np.frombuffer(vocabulary.encode([short])[0], "<u4").tolist() == library.encode_ordinary(short)
+    some = [piece[i:i + 90].encode() for i in range(0, 9_000, 90)]
+    assert [vocabulary._merge_one(p, 128) for p in some] == vocabulary._merge_equal(some, 128)
 
 
 def test_toxicity(spark):
