@@ -25,10 +25,11 @@ OVERRIDE_LIFE = "10 days"
 
 
 def _stream(spark, sf, name):
-    return (
-        spark.readStream.schema(table(spark, sf, name).schema)
-        .option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    )
+    """The files of a table, which may be one file or a folder of them.
+
+    The pattern has one match: a file source that is given a plain path takes it for a folder.
+    """
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
 
 
 def nav_stream(spark, sf, event_type="view"):
