@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from checks.stream_checks import w02
 from phishlake import fixed_values as fv
 from phishlake.operators.licences import licence_state
 from phishlake.operators.overrides import mail_scans
@@ -235,3 +238,18 @@ def test_counts_are_merged_from_what_batches_changed(spark, tmp_path):
     # windows that are over are neither written again nor kept
     assert spark.read.parquet(str(tmp_path / "out")).count() < 2 * len(want)
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+def test_streams_read_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    """Other tables beside it are left alone; pages come out scored either way."""
+    page = "<html><head><title>t</title></head><body><article><p>the token</p></article></body></html>"
+    rows = pa.table({"page_id": list(range(8)), "url": ["http://a.example.com/x"] * 8, "html": [page] * 8})
+    for form in ("file", "folder"):
+        (tmp_path / form).mkdir()
+    pq.write_table(rows, tmp_path / "file" / "pages.parquet")
+    spark.createDataFrame(rows.to_pandas()).repartition(3).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    got = []
+    for form in ("file", "folder"):
+        pq.write_table(rows, tmp_path / form / "events.parquet")
+        got.append(sorted((r.page_id, r.content_score, r.content_verdict) for r in w02(spark, str(tmp_path / form)).collect()))
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(8)) and got[0][0][1] > 0
