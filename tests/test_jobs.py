@@ -1,7 +1,9 @@
 """Whole verdicts on small inputs of our own."""
 
+import gc
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from phishlake.plans.message_job import (
 )
 from phishlake.plans.page_job import PageConfig, score_pages
 from phishlake.plans.url_job import score_urls
-from phishlake.sources.html_features import BROWSER_LIMITS, page_features
+from phishlake.sources import html_features
+from phishlake.sources.html_features import BROWSER_LIMITS, extract_page_features, page_features
 from phishlake.sources.lists import (
     Category, Org, Rule, allow_table, block_table, clean_user_lists, load_list, refresh_lists,
     rules_of, validate_lists,
@@ -137,6 +140,27 @@ def test_hostile_nesting_is_read_in_linear_time():
     assert [(x["id"], x["label_text"]) for x in f["fields"]] == [("1", "one"), ("", "in")]
 
 
+def test_pages_are_read_in_bounded_slices(spark, monkeypatch):
+    """A tree goes with its row, texts become Python strings slice by slice, and the rows stay the same."""
+    page = '<body><label>L <input name=a></label><p>one</p></body>'
+    gc.collect()
+    gc.disable()
+    try:
+        page_features(page * 50)
+        assert gc.collect() == 0  # nothing waits for the collector
+    finally:
+        gc.enable()
+    batch = pa.RecordBatch.from_pydict({"html": ["x" * 10, None, "y" * 70, "", "z" * 30, "w" * 200]})
+    monkeypatch.setattr(html_features, "SLICE_BYTES", 60)
+    parts = [x.column("html").to_pylist() for x in html_features._slices([batch, batch.slice(0, 0)], "html")]
+    assert [len(x) for x in parts] == [2, 1, 2, 1] and sum(parts, []) == batch.column("html").to_pylist()
+    rows = [(None, "u", "one", page), (2**53 + 1, None, "one", "<h2 class=hP>S</h2><div class=a3s>t</div>"), (3, "u", None, None)]
+    df = spark.createDataFrame(rows, "id long, url string, provider string, html string").coalesce(1)
+    got = {r.id: (r.url, r.text, len(r.fields)) for r in extract_page_features(df, "id").collect()}
+    assert got == {None: ("u", "L\none", 1), 2**53 + 1: (None, "S\nt", 0), 3: ("u", "", 0)}
+    assert extract_page_features(df.where("false"), "id").count() == 0
+
+
 def test_page_features_of_html():
     f = page_features('<html><head><title> A &amp;\n B </title><meta name="description" content="M"></head><body>'
                       '<p>one<script>x<p></script> two<p>three<br>four<label for=q>Your <i>code</i></label>'
