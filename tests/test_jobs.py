@@ -20,7 +20,7 @@ from phishlake.plans.message_job import (
 from phishlake.plans.page_job import PageConfig, score_pages
 from phishlake.plans.url_job import score_urls
 from phishlake.sources import html_features
-from phishlake.sources.html_features import BROWSER_LIMITS, extract_page_features, page_features
+from phishlake.sources.html_features import BROWSER_LIMITS, extract_mail, extract_page_features, page_features
 from phishlake.sources.lists import (
     Category, Org, Rule, allow_table, block_table, clean_user_lists, load_list, refresh_lists,
     rules_of, validate_lists,
@@ -158,7 +158,8 @@ def test_pages_are_read_in_bounded_slices(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, url string, provider string, html string").coalesce(1)
     got = {r.id: (r.url, r.text, len(r.fields)) for r in extract_page_features(df, "id").collect()}
     assert got == {None: ("u", "L\none", 1), 2**53 + 1: (None, "S\nt", 0), 3: ("u", "", 0)}
-    assert extract_page_features(df.where("false"), "id").count() == 0
+    assert [(r.id, r.subject, r.body, r.anchors) for r in extract_mail(df, "id").collect()] == [(2**53 + 1, "S", "\nt", [])]
+    assert extract_mail(df.where("false"), "id").count() == extract_page_features(df.where("false"), "id").count() == 0
 
 
 def test_page_features_of_html():
