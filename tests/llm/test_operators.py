@@ -385,6 +385,32 @@ def test_page_differencing(spark):
     assert main_texts(pages.where("false")).count() == 0
 
 
+def test_page_differencing_inside_articles(spark):
+    """A line on most pages of a host goes from their articles; quotations and copies of articles stay."""
+    def page(*lines):
+        return "<nav>Menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+    told = {i: [f"Head {i}", f"Story {i}", "Share this page"] for i in range(40)}
+    told[7].insert(1, "A quoted passage")
+    told[8].insert(1, "A quoted passage")
+    told[20] = ["Share this page"]  # nothing else: it stays
+    told[21] = ["Head 21", "Story 21"]  # the neighbour of 22, which therefore keeps the line
+    rows = [(i, f"http://a.example/n/{i:02}", page(*lines)) for i, lines in told.items()]
+    rows += [(100 + i, f"http://b.example/n/{i}", page("Head", "One", "Two", f"Copy {i}")) for i in range(12)]  # copies
+    rows += [(200 + i, f"http://c.example/n/{i}", page(f"Head {i}", f"Story {i}", "Share this page")) for i in range(3)]  # too few
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "\n".join(lines if i in (20, 22) else [x for x in lines if x != "Share this page"]) for i, lines in told.items()}
+    want |= {100 + i: f"Head\nOne\nTwo\nCopy {i}" for i in range(12)}
+    want |= {200 + i: f"Head {i}\nStory {i}\nShare this page" for i in range(3)}
+    for partitions in (1, 3, 30):  # neighbours in one partition, and across partitions of one or two rows
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", partitions == 1)
+        try:
+            assert {r.page_id: r.text for r in main_texts(pages).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.shuffle.partitions")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def _substring_truth(rows):
     first, want = {}, []
     for i, text in rows:
