@@ -2,6 +2,7 @@
 
 import gc
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import seeds
 from checks.inputs import messages
+from checks.page_checks import c04
 from phishlake.functions import bands
 from phishlake.operators.lookups import ListTable
 from phishlake.operators.rules import PREDICATES, is_structural
@@ -162,6 +164,32 @@ def test_pages_are_read_in_bounded_slices(spark, monkeypatch):
     assert extract_mail(df.where("false"), "id").count() == extract_page_features(df.where("false"), "id").count() == 0
 
 
+def test_python_memory_of_page_categories_does_not_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """Ten times the pages in an Arrow batch: the Python objects of c04_categories_hit's one Python step stay as few."""
+    page = "<title>t</title><body>" + "<p>one <b>two</b></p>" * 60 + "<article></article></body>"
+    spark.createDataFrame([(k, "http://a.example.org/", page) for k in (0, 1)], "page_id long, url string, html string"
+                          ).write.parquet(f"{tmp_path}/pages.parquet")
+    steps, frame = [], type(spark.range(1))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: (steps.append(f), plain(self, f, *a, **b))[1])
+    assert sorted(c04(spark, str(tmp_path)).collect()) == [(0, ""), (1, "forms")]
+    monkeypatch.setattr(html_features, "SLICE_BYTES", 10 * len(page))
+
+    def peak(n):
+        batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["u"] * n, "html": [page] * n})
+        gc.collect()
+        tracemalloc.start()
+        try:
+            ids = [k for out in steps[0](iter([batch])) for k in out.column("page_id").to_pylist()]
+            return tracemalloc.get_traced_memory()[1], ids == list(range(n))
+        finally:
+            tracemalloc.stop()
+
+    assert len(steps) == 1
+    (few, whole), (many, all_of_it) = peak(50), peak(500)
+    assert whole and all_of_it and many < 1.5 * few
+
+
 def test_page_features_of_html():
     f = page_features('<html><head><title> A &amp;\n B </title><meta name="description" content="M"></head><body>'
                       '<p>one<script>x<p></script> two<p>three<br>four<label for=q>Your <i>code</i></label>'
